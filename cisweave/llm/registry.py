@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from cisweave.llm import percentiles, sampling
+from cisweave.llm import contamination, percentiles, sampling
 
-MODULES = [sampling, percentiles]
+MODULES = [sampling, percentiles, contamination]
