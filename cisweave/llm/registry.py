@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from cisweave.llm import contamination, percentiles, sampling
+from cisweave.llm import contamination, containers, moderation, percentiles, sampling
 
-MODULES = [sampling, percentiles, contamination]
+MODULES = [sampling, percentiles, containers, contamination, moderation]
