@@ -24,16 +24,19 @@ def spread_rank(df: DataFrame, groups: Sequence[str], by: str, tie: str, rank: s
 
     (by, tie) must be unique within a group for ranks to be stable. A null in a group column is a group of its own.
     """
-    b = df.withColumn("_b", F.substring(by, 1, digits))
-    within = b.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(by, tie)))
-    sizes = b.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b")) - F.col("_n")).drop("_n")
-    named = before.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_bb"), "_before")
-    on = F.col("_b").eqNullSafe(F.col("_bb"))
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    out = within.join(named, on).withColumn(rank, (F.col("_before") + F.col("_r")).cast("long"))
-    return out.drop("_b", "_r", "_bb", "_before", *[f"_g{i}" for i in range(len(groups))])
+    # names of our own, so that no column of df is in the way
+    bucket, within, before = "__rank_bucket", "__rank_within", "__rank_before"
+    b = df.withColumn(bucket, F.substring(by, 1, digits))
+    rows = b.withColumn(within, F.row_number().over(Window.partitionBy(*groups, bucket).orderBy(by, tie)))
+    sizes = b.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias(before))
+    sizes = sizes.withColumn(before, F.sum(before).over(Window.partitionBy(*groups).orderBy(bucket)) - F.col(before))
+    keys = [*groups, bucket]
+    named = sizes.select(*[F.col(k).alias(f"__rank_key{i}") for i, k in enumerate(keys)], before)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__rank_key{i}"))
+    out = rows.join(named, on).withColumn(rank, (F.col(before) + F.col(within)).cast("long"))
+    return out.drop(bucket, within, before, *[f"__rank_key{i}" for i in range(len(keys))])
 
 
 def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
