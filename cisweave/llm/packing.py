@@ -7,7 +7,7 @@ leftovers of FAN_IN blocks are packed together, up to one group; so the space lo
 item above the capacity is divided, into full pieces and a rest.
 
 Defined results: null sizes are left out; items of size 0 take no space and join the last container of their block; equal
-sizes are packed in the order of their keys; capacities below 1 are an error.
+sizes are packed in the order of their keys; null capacities are left out, one below 1 is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from cisweave import storage
 
 BLOCK_ITEMS, FAN_IN = 8_192, 16
+#: capacities at a time; they are a setting, not data
+MOST_PACKS = 1_000
 #: share of the capacity from which a container is final before the last level
 FULL = 0.998
 PACKED = "pack_id int, capacity int, item long, piece int, size int, block long, container long, level int, is_open boolean"
@@ -148,19 +150,23 @@ def _pack_level(level: int, last: bool):
     return run
 
 
-def pieces(items: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(pack_id, capacity, item, piece, size): items (item, size) for each capacity, those above it divided."""
-    c = F.broadcast(capacities.select(F.col("pack_id").cast("int"), F.col("capacity").cast("int")))  # one row a capacity
+def pieces(items: DataFrame, capacities: Sequence[tuple[int, int]]) -> DataFrame:
+    """(pack_id, capacity, item, piece, size): items (item, size) for each (pack_id, capacity), those above it divided."""
+    each = F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for p, c in capacities])
+    one = items.where("size IS NOT NULL").select(F.col("item").cast("long"), "size", F.explode(each).alias("c")).select("c.*", "item", "size")
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))).cast("int")
-    full = items.where("size IS NOT NULL").select(F.col("item").cast("long"), "size").join(c).withColumn("piece", F.explode(F.sequence(F.lit(1), n)))
-    return full.withColumn("size", F.least(F.col("capacity"), F.col("size") - (F.col("piece") - 1) * F.col("capacity")).cast("int")).select("pack_id", "capacity", "item", "piece", "size")
+    part = F.least(F.col("capacity"), F.col("size") - (F.col("piece") - 1) * F.col("capacity")).cast("int")
+    return one.withColumn("piece", F.explode(F.sequence(F.lit(1), n))).select("pack_id", "capacity", "item", "piece", part.alias("size"))
 
 
 def pack_items(items: DataFrame, capacities: DataFrame) -> DataFrame:
     """(pack_id, container, item, piece, size): every piece in one container. items: (item long, size int)."""
-    if capacities.where("capacity < 1").limit(1).count():
-        raise ValueError("a capacity is below 1")
-    todo = storage.materialise(pieces(items, capacities), "pieces")
+    packs = [tuple(r) for r in capacities.select("pack_id", "capacity").where("pack_id IS NOT NULL AND capacity IS NOT NULL").distinct().sort("pack_id").limit(MOST_PACKS + 1).collect()]
+    if len(packs) > MOST_PACKS or any(c < 1 for _, c in packs):
+        raise ValueError(f"more than {MOST_PACKS} capacities, or one below 1")
+    if not packs:
+        return items.sparkSession.createDataFrame([], "pack_id int, container string, item long, piece int, size int")
+    todo = storage.materialise(pieces(items, packs), "pieces")
     most = todo.groupBy("pack_id").count().agg(F.max("count")).first()[0] or 1
     blocks = math.ceil(most / BLOCK_ITEMS)
     todo = todo.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)))

@@ -7,7 +7,8 @@ its inputs and compression may use only what the level allows, so the error that
 (`rank_error`) and stays within eps * n. Summaries of separate days, runs or partitions are combined in the same way.
 
 Defined results: null, NaN and infinite values are left out (count them apart); a group without values has no row; a
-quantile of one value is that value; ties are kept as such; quantile q is the value of rank ceil(q * n), at least 1.
+quantile of one value is that value; ties are kept as such; quantile q is the value of rank ceil(q * n), at least 1. Group columns must not be
+named like the columns of a summary or of the answer (metric, part, n, rank_error, v, lo, hi, q, value, group).
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def summaries(df: DataFrame, groups: Sequence[str], metrics: Sequence[str], eps:
 
 def merged(parts: DataFrame, groups: Sequence[str], eps: float = 0.001) -> DataFrame:
     """One summary per group and metric, about FAN_IN merged at a time. parts is read twice: pass a written table."""
-    n = parts.select("part").distinct().count()
+    n = max(1, parts.select("part").distinct().count())
     levels = max(1, math.ceil(math.log(max(2, n), FAN_IN)))
     schema, columns = parts.schema, parts.columns
 

@@ -43,12 +43,12 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Sites selected per chromosome, with the round (batch of the manifest) that added each."""
+    """Sites selected per chromosome, with the batch of the manifest that added each."""
     key = ids.site_key("cpg_id")
     rows = table(spark, folder, "sites").select(key.alias("key"), ids.site_chrom(key, "chrom").alias("grp"), F.col("batch_no").alias("batch"))
     population = storage.materialise(ledger.members(rows, SEED), "population")
-    chosen = ledger.grow(spark, population, storage.scratch_path(spark, "ledger"), P4_SHARE, P4_LEAST)
-    return chosen.select(F.col("key").alias("site"), F.col("grp").alias("chrom"), "round")
+    chosen = ledger.grow(population, storage.scratch_path(spark, "ledger"), P4_SHARE, P4_LEAST)
+    return chosen.select(F.col("key").alias("site"), F.col("grp").alias("chrom"), F.col("batch").cast("long").alias("batch"))
 
 
 _SITE = ids.sql_site("cpg_id")
@@ -71,5 +71,5 @@ steps AS (SELECT CAST(-1 AS BIGINT) AS round, chrom, CAST([] AS VARCHAR[]) AS he
  SELECT s.round + 1, s.chrom, list_concat(s.held, x.new), x.new FROM steps s LEFT JOIN pops p ON p.round = s.round + 1 AND p.chrom = s.chrom,
  LATERAL (SELECT coalesce(list_slice(list_filter(p.sites, lambda k: NOT list_contains(s.held, k)), 1, CAST(greatest(p.quota - len(s.held), 0) AS BIGINT)), CAST([] AS VARCHAR[])) AS new) x
  WHERE s.round + 1 <= (SELECT max(round) FROM batches))
-SELECT unnest(added) AS site, chrom, CAST(round AS INTEGER) AS round FROM steps""",
+SELECT unnest(added) AS site, chrom, CAST(b.batch AS BIGINT) AS batch FROM steps JOIN batches b USING (round)""",
 }
