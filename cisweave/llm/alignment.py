@@ -26,10 +26,11 @@ def reach(a: Sequence[int], b: Sequence[int], edits: int) -> list[int]:
             i = max(front.get(d, -2) + 1, front.get(d + 1, -2) + 1, front.get(d - 1, -2))
             if i < 0 or i > n or i + d > m or i + d < 0:
                 continue
-            far = slide(i, d)
-            new[d] = far
-            if far > i and far > best:
-                best = far
+            new[d] = end = slide(i, d)
+            # every point up to the furthest of a diagonal is within e edits; the last equal word there ends the prefix
+            while end > best and not (end + d > 0 and a[end - 1] == b[end + d - 1]):
+                end -= 1
+            best = max(best, end)
         front = new
         out.append(best)
     return out

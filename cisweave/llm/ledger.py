@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cisweave import storage
-from cisweave.operators.ranking import priority, spread_rank
+from cisweave.operators.ranking import bounded_broadcast, priority, spread_rank
 
+#: groups up to which their needs are broadcast; beyond, they are joined by shuffle
+BROADCAST_GROUPS = 100_000
 LEDGER = "key string, grp string, priority string"
 
 
@@ -37,7 +39,7 @@ def growth(population: DataFrame, ledger: DataFrame, share: float, least: int) -
     )
     unseen = population.select("key", "grp", "priority").join(ledger.select("key"), "key", "left_anti")
     ranked = spread_rank(unseen, ["grp"], "priority", "key")
-    return ranked.join(need, F.col("grp").eqNullSafe(F.col("_grp"))).where("rank <= need").select("key", "grp", "priority")
+    return ranked.join(bounded_broadcast(need, BROADCAST_GROUPS), F.col("grp").eqNullSafe(F.col("_grp"))).where("rank <= need").select("key", "grp", "priority")
 
 
 def grow(population: DataFrame, path: str, share: float, least: int = 1) -> DataFrame:

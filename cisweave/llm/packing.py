@@ -84,44 +84,38 @@ def _gain(gap: int, mine: dict[int, list[int]], theirs: dict[int, list[int]]) ->
     return best
 
 
-def local_search(bins: list[list[int]], sizes: Sequence[int], capacity: int, tries: int = 64) -> list[list[int]]:
-    """Empty the emptiest container into underfull ones by moves and swaps, each of which raises the squared fill, and go
-    on with the next until one cannot be emptied; the containers it was tried against are the `tries` with most room."""
-    by_size = [{} for _ in bins]
+def local_search(bins: list[list[int]], sizes: Sequence[int], capacity: int, tries: int = 32, full: float = FULL) -> list[list[int]]:
+    """Exchanges between underfull containers, each of which raises the sum of squared fills, until none does: the
+    emptier one gives to the fuller one by a move, a swap of one for one or of two for one; empty containers go. A
+    container is tried against the `tries` with most room that are at least as full; one filled to `full` is left alone."""
+    groups: list[dict[int, list[int]]] = [{} for _ in bins]
     for b, items in enumerate(bins):
         for i in items:
-            by_size[b].setdefault(sizes[i], []).append(i)
+            groups[b].setdefault(sizes[i], []).append(i)
     fill = [sum(sizes[i] for i in items) for items in bins]
-    live = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    while len(live) > 1:
-        low = live.pop(0)
-        others = live[:tries]
-        changed = True
-        while fill[low] and changed:
-            changed = False
-            for b in others:
-                room = capacity - fill[b]
-                if not room or not fill[low]:
-                    continue
-                found = _gain(room, by_size[low], by_size[b])
-                # squared fill rises if the fuller one gains; an emptier one may gain only as much as passes the fuller
-                if found is None or fill[b] + found[0] <= fill[low]:
-                    continue
-                d, out, back = found
-                for group, source, target in ((out, low, b), (back, b, low)):
-                    for s in group:
-                        i = by_size[source][s].pop()
-                        if not by_size[source][s]:
-                            del by_size[source][s]
-                        by_size[target].setdefault(s, []).append(i)
-                fill[low] -= d
-                fill[b] += d
-                changed = True
-        if fill[low]:
-            break
-        live = sorted((b for b in live if fill[b] < capacity), key=lambda b: fill[b])
-    out = [[i for items in g.values() for i in items] for g in by_size]
-    return [items for items in out if items]
+    changed = True
+    while changed:
+        changed = False
+        live = sorted((b for b in range(len(bins)) if 0 < fill[b] < full * capacity), key=lambda b: (fill[b], b))
+        for n, low in enumerate(live):
+            for b in live[n + 1 : n + 1 + tries]:
+                while 0 < fill[low] and fill[b] < capacity:
+                    found = _gain(capacity - fill[b], groups[low], groups[b])
+                    if found is None or fill[b] + found[0] <= fill[low]:
+                        break
+                    d, out, back = found
+                    for sent, source, target in ((out, low, b), (back, b, low)):
+                        for s in sent:
+                            i = groups[source][s].pop()
+                            if not groups[source][s]:
+                                del groups[source][s]
+                            groups[target].setdefault(s, []).append(i)
+                    fill[low] -= d
+                    fill[b] += d
+                    changed = True
+                if not fill[low]:
+                    break
+    return [items for g in groups if (items := [i for own in g.values() for i in own])]
 
 
 def pack(sizes: Sequence[int], capacity: int) -> list[list[int]]:
