@@ -35,6 +35,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that materialise() left in the shared folder; results that still read them are lost."""
+    remove(spark, f"{shared_dir(spark)}/cisweave")
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system and path object of a location."""
     jvm = spark.sparkContext._jvm

@@ -153,3 +153,17 @@ def test_tuning(spark, data):
         tuning.leave_chromosomes_out(two, [2], geno, pheno, grid=grid, settings=FAST, window_size=20_000)
     assert tuning.infer_n(genotypes=geno) == 50 and tuning.target_size(1000, 0.0025, 1, 9) == 2
     assert tuning.odd_even([1, 2, 3]) == ([1, 3], [2]) and tuning.odd_even([1, 3]) == ([1, 3], [1, 3])
+
+
+def test_arriving_manifests(spark, data, tmp_path):
+    from cisweave.streaming.arrivals import fit_arrivals
+
+    geno, pheno, sites, *_ = data
+    for n in (2, 4):
+        sites.orderBy("cpg_pos").limit(n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = fit_arrivals(spark, f"{tmp_path}/in", geno, pheno, f"{tmp_path}/out", window_size=20_000, settings=FAST)
+        q.awaitTermination(120)
+        assert q.exception() is None
+        done = pipeline.completed(spark, f"{tmp_path}/out/cpg_checkpoint")
+        assert done.count() == n
+    assert len(list((tmp_path / "out/cpg_checkpoint").glob("batch-*"))) == 2
