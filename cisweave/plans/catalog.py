@@ -183,7 +183,7 @@ def boost_k1_3iter(spark, folder):
     """Three rounds of componentwise boosting over all variants in one group."""
     s = Settings(n_iter=3, working_set=1, refresh=1, standardize=False, val_frac=0.0, fixed_alpha=0.04, fixed_l1_ratio=0.5, early_stop=False)
     y = fit.phenotype_vectors(fx.phenotype(spark, folder, "planted"))
-    rows = qc.transpose(_clean_geno(spark, folder)).join(y)
+    rows = qc.transpose(_clean_geno(spark, folder)).withColumn("pheno_id", F.lit("planted")).join(y, "pheno_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("snp_idx")

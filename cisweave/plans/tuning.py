@@ -9,6 +9,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cisweave import storage
 from cisweave.functions.boosting import Settings
 from cisweave.functions.penalties import enet_from_targets
 from cisweave.operators.cis import WINDOW_RUNNER, snp_counts
@@ -50,15 +51,15 @@ def select_loci(
         edges = [e for e in inner[1:-1]] if len(inner) > 2 else []
     pool = pool.withColumn("_bin", quantile_bin("m_raw", edges))
     by_chrom = spread_rank(pool, ["chrom"], "_p", "window_id", "_c")
-    picked = by_chrom.withColumn("_first", F.col("_c") <= per_chrom_min)
+    picked = storage.materialise(by_chrom.withColumn("_first", F.col("_c") <= per_chrom_min), "picked")
     got = picked.where("_first").count() if per_chrom_min > 0 else 0
     need = max(0, target - got)
     rest = spread_rank(picked.where("NOT _first"), ["_bin"], "_p", "window_id", "_r")
-    present = [r[0] for r in rest.select("_bin").distinct().sort("_bin").collect()]  # at most n_bins
+    present = [r[0] for r in picked.where("NOT _first").select("_bin").distinct().sort("_bin").collect()]  # at most n_bins
     base, extra = divmod(need, max(1, len(present)))
     quota = F.create_map(*[x for i, b in enumerate(present) for x in (F.lit(b), F.lit(base + (i < extra)))]) if present else None
     rest = rest.withColumn("_take", F.col("_r") <= quota[F.col("_bin")]) if present else rest.withColumn("_take", F.lit(False))
-    all_rows = picked.where("_first").withColumn("_r", F.lit(0).cast("long")).withColumn("_take", F.lit(True)).unionByName(rest)
+    all_rows = storage.materialise(picked.where("_first").withColumn("_r", F.lit(0).cast("long")).withColumn("_take", F.lit(True)).unionByName(rest), "ranked")
     short = target - all_rows.where("_take").count()
     chosen = all_rows.where("_take")
     if short > 0:
