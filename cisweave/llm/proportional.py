@@ -102,7 +102,7 @@ def category_members(items: DataFrame, categories: DataFrame) -> DataFrame:
     """(plan_id, chrom, bin_no, key): the items (key, chrom, value) in each category's chromosome and range of values."""
     c = bounded_broadcast(categories.select("plan_id", F.col("chrom").alias("_chrom"), "bin_no", "m_low", "m_high"), BROADCAST_CATEGORIES)
     within = (F.col("chrom") == F.col("_chrom")) & (F.col("m_low").isNull() | (F.col("value") >= F.col("m_low"))) & (F.col("m_high").isNull() | (F.col("value") <= F.col("m_high")))
-    return items.join(c, within).select("plan_id", "chrom", "bin_no", "key")
+    return items.select("key", "chrom", "value").join(c, within).select("plan_id", "chrom", "bin_no", "key")
 
 
 def allocation(members: DataFrame, categories: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def allocation(members: DataFrame, categories: DataFrame) -> DataFrame:
 def draw(members: DataFrame, allocated: DataFrame, seed: int) -> DataFrame:
     """(plan_id, chrom, bin_no, key): the rows with the lowest permuted ranks of each leaf, as many as it draws."""
     leaf = ["plan_id", "chrom", "bin_no"]
-    ranked = spread_rank(members.withColumn("_p", priority(seed, "plan_id", "key")), leaf, "_p", "key")
+    ranked = spread_rank(members.select(*leaf, "key").withColumn("_p", priority(seed, "plan_id", "key")), leaf, "_p", "key")
     quota = bounded_broadcast(allocated.select(*leaf, "drawn"), BROADCAST_CATEGORIES)
     return ranked.join(quota, leaf).where("rank <= drawn").select(*leaf, "key")
 

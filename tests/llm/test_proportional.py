@@ -62,6 +62,15 @@ def test_empty_and_null(spark):
     assert p.allocation(m, c.limit(0)).count() == 0
 
 
+def test_extra_columns_with_names_in_use(spark):
+    from pyspark.sql import functions as F
+
+    i, c = _tables(spark, [("k", "1", 3, 0), ("l", "1", 4, 0)], [(1, "1", 1, 0, 9, 1.0, 0, 1)])
+    m = p.category_members(i.withColumns({"plan_id": F.lit(9), "bin_no": F.lit(9), "_chrom": F.lit("z")}), c)
+    a = p.allocation(m, c.withColumn("pool", F.lit(5)))
+    assert p.draw(m.withColumns({"rank": F.lit(0), "drawn": F.lit(7), "_p": F.lit("")}), a, 1).count() == 1
+
+
 def test_latest_usable(spark):
     rows = spark.createDataFrame([("a", 5, 1, 1), ("a", -9, 2, 2), ("a", 7, 1, 3), ("b", None, 1, 4), ("c", 0, 1, 5), (None, 3, 1, 6)], "k string, v int, t int, no int")
     assert [tuple(r) for r in p.latest_usable(rows, "k", "v", ["t", "no"]).collect()] == [("a", 7)]
