@@ -17,13 +17,14 @@ from cisweave.functions.solver import Gram, enet, grid_settings, r2, random_sett
 @dataclass(frozen=True)
 class Settings:
     n_iter: int = 100
-    batch_size: int = 4096
+    batch_size: int = 8192
     n_trials: int = 20
+    #: fixed values: the search ranges and the ridge grid
     alphas: tuple[float, float] = (0.1, 1.0)
     l1_ratios: tuple[float, float] = (0.1, 0.9)
     search: str = "random"
     subsample_frac: float = 0.7
-    ridge_grid: tuple[float, ...] = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
+    ridge_grid: tuple[float, ...] = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
     cv: int = 5
     refit_each_iter: bool = False
     standardize: bool = True
@@ -74,7 +75,8 @@ def choose_penalty(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, fl
     """Both penalties fixed: as they are. One fixed: a search over the other, of at least 3 trials. None: a full search."""
     if s.fixed_alpha is not None and s.fixed_l1_ratio is not None:
         return s.fixed_alpha, s.fixed_l1_ratio
-    trials = auto_trials_number(x.shape[1], s.n_trials) if s.adaptive_trials else s.n_trials
+    m = x.shape[1]
+    trials = auto_trials_number(min(m, s.batch_size) if s.adaptive_trials else m, s.n_trials)
     one = s.fixed_alpha is not None or s.fixed_l1_ratio is not None
     if one:
         trials = max(3, trials)

@@ -40,7 +40,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int = 1024) -
     refs: (kind int, src int from 0 to 61, key string, t timestamp, row_id long). parents: (kind int, key string,
     valid_from timestamp, valid_to timestamp or null). Returns (kind, src, row_id), one row for each orphan row.
     """
-    refs = refs.where(F.col("key").isNotNull()).withColumn("period", F.coalesce(month_no(F.col("t")), F.lit(NO_PERIOD)))
+    refs = refs.select("kind", "src", "key", "t", "row_id").where(F.col("key").isNotNull()).withColumn("period", F.coalesce(month_no(F.col("t")), F.lit(NO_PERIOD)))
     parents = parents.where("key IS NOT NULL AND valid_from IS NOT NULL").select("kind", "key", "valid_from", "valid_to").distinct()
 
     # One row for each key and period; src as a bit mask. Hot keys shrink before the shuffle.

@@ -392,6 +392,51 @@ def run_summary_stats(spark, folder):
     return r.select("total", *[F.round(c, 9).alias(c) for c in ("median_h2", "mean_h2", "median_r2")], F.round("mean_num_snps", 6).alias("mean_num_snps"))
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (y IS NULL OR isnan(y)) AS n_missing, count(*) FILTER (NOT (y IS NULL OR isnan(y))) AS n_kept FROM phenotypes")
+def na_counts(spark, folder):
+    missing = F.col("y").isNull() | F.isnan("y")
+    return table(spark, folder, "phenotypes").agg(F.count("*").alias("n"), F.count_if(missing).alias("n_missing"), F.count_if(~missing).alias("n_kept"))
+
+
+@query(f"WITH {COUNTS} SELECT chrom, count(DISTINCT m_raw) AS n_distinct, CAST(greatest(5, floor(count(*)*0.2)) * CASE WHEN count(*) >= 25 THEN 1 ELSE 0 END AS INTEGER) AS n_val FROM m GROUP BY 1")
+def group_sizes(spark, folder):
+    """Distinct counts and validation sizes per chromosome."""
+    return _counts(spark, folder).groupBy("chrom").agg(F.count_distinct("m_raw").alias("n_distinct"), F.count("*").alias("_n")).select("chrom", "n_distinct", penalties.validation_size(F.col("_n"), 0.2).alias("n_val"))
+
+
+@query("WITH q AS (SELECT summary_id, CASE WHEN NOT isnan(final_r2) THEN final_r2 END AS a, CASE WHEN NOT isnan(h2_unscaled) THEN h2_unscaled END AS b FROM cpg_summary) SELECT summary_id, round(greatest(0.0, least(1.0, coalesce(a, b))), 9) + 0.0 AS h2 FROM q WHERE coalesce(a, b) IS NOT NULL")
+def h2_fallback(spark, folder):
+    """The first of two estimates that is a number, clipped."""
+    h2 = penalties.h2_reported(F.col("final_r2"), F.col("h2_unscaled"), F.lit(None).cast("double"))
+    return table(spark, folder, "cpg_summary").select("summary_id", rounded(h2, 9).alias("h2")).where("h2 IS NOT NULL")
+
+
+@query("SELECT region_row, pos FROM error_regions ORDER BY region_row LIMIT 10")
+def first_windows(spark, folder):
+    return table(spark, folder, "error_regions").orderBy("region_row").limit(10).select("region_row", "pos")
+
+
+@query(f"SELECT chrom IN ('1', '2') AS held_out, count(*) AS n FROM (SELECT DISTINCT {ids.sql_site_chrom(_S)} AS chrom, {_S} AS k FROM sites) WHERE chrom IS NOT NULL GROUP BY 1")
+def leave_chromosomes_out_split(spark, folder):
+    k = table(spark, folder, "sites").select(ids.site_key("cpg_id").alias("k")).distinct().withColumn("chrom", ids.site_chrom("k")).where("chrom IS NOT NULL")
+    return k.select(F.col("chrom").isin("1", "2").alias("held_out")).groupBy("held_out").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CLEAN}, {fx.SQL_PHENO['planted']}, fo AS (SELECT f.f, c.snp_idx, c.sample_idx % 3 = f.f AS test, dosage AS x, y FROM c JOIN ph USING (sample_idx), range(3) f(f)),
+tr AS (SELECT f, snp_idx, covar_pop(x, y) AS cv, var_pop(x) AS vr, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM fo WHERE NOT test GROUP BY 1, 2),
+e AS (SELECT snp_idx, a, avg(pow(y - my - cv/(vr + a/n)*(x - mx), 2)) AS mse FROM fo JOIN tr USING (f, snp_idx), (SELECT unnest([CAST(0.1 AS DOUBLE), 10.0, 1000.0]) AS a) WHERE test GROUP BY 1, 2)
+SELECT snp_idx, a AS alpha, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY snp_idx ORDER BY round(mse, 10), a) AS k FROM e) WHERE k = 1""")
+def ridge_grid_argmin(spark, folder):
+    """Least mean error over three folds and a grid of penalties, per variant."""
+    j = _clean_geno(spark, folder).join(fx.phenotype(spark, folder, "planted"), "sample_idx")
+    fo = j.select("snp_idx", F.col("dosage").alias("x"), "y", (F.col("sample_idx") % 3).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("f"))
+    tr = fo.where("own <> f").groupBy("f", "snp_idx").agg(F.covar_pop("x", "y").alias("cv"), F.var_pop("x").alias("vr"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
+    test = fo.where("own = f").join(tr, ["f", "snp_idx"]).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.1, 10.0, 1000.0)])))
+    mse = test.groupBy("snp_idx", "alpha").agg(F.avg(F.pow(F.col("y") - F.col("my") - F.col("cv") / (F.col("vr") + F.col("alpha") / F.col("n")) * (F.col("x") - F.col("mx")), 2)).alias("mse"))
+    best = mse.groupBy("snp_idx").agg(F.min_by(F.struct("alpha", "mse"), F.struct(F.round("mse", 10).alias("r"), "alpha")).alias("b"))
+    return best.select("snp_idx", "b.alpha", rounded("b.mse").alias("mse"))
+
+
 # Fits
 
 FAST = Settings(n_iter=30, n_trials=5)

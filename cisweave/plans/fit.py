@@ -22,6 +22,8 @@ from cisweave.operators.cis import WINDOW_RUNNER, bounds, cis_join, skip_blackli
 from cisweave.operators.ld import clump, window_bp
 
 COLUMNS = [c.strip().split(" ")[0].strip("`") for c in schemas.MODEL.split(", ")]
+#: columns of windows that override the settings: of the search, of the share of rows it uses, of the working set
+GIVEN = ("fixed_alpha", "fixed_l1_ratio", "fixed_subsample_frac", "fixed_batch_size")
 Fixed = dict | Callable[[dict], dict | None] | None
 
 
@@ -97,9 +99,11 @@ def fit_one(w: dict, snp: np.ndarray, pos: np.ndarray, x: np.ndarray, settings:
         if not len(cols):
             return out | {"status": "no_snps"}
         given = fixed(w | {"m_raw": len(pos), "n": len(y)}) if callable(fixed) else fixed
-        given = dict(given or {k: w[k] for k in ("fixed_alpha", "fixed_l1_ratio") if w.get(k) is not None and np.isfinite(w[k])})
-        s = replace(settings, **{k: float(v) for k, v in given.items() if v is not None})
-        s = replace(s, batch_size=min(s.batch_size, len(cols)))
+        given = {k: w[k] for k in GIVEN if w.get(k) is not None and np.isfinite(w[k])} | {k: v for k, v in dict(given or {}).items() if v is not None}
+        s = replace(
+            settings, fixed_alpha=given.get("fixed_alpha", settings.fixed_alpha), fixed_l1_ratio=given.get("fixed_l1_ratio", settings.fixed_l1_ratio),
+            subsample_frac=given.get("fixed_subsample_frac", settings.subsample_frac), batch_size=int(min(given.get("fixed_batch_size", settings.batch_size), len(cols))),
+        )
         f = boost(x, y, s)
         names = [str(v) for v in snp[cols]]
         h2 = next((v for v in (f.h2_val, f.h2_ld, f.h2_diag) if np.isfinite(v)), float("nan"))
@@ -128,7 +132,7 @@ def fit_windows(
     # a salt divides places with more windows than one task should have
     crowd = w.groupBy("chrom", "_place").agg(F.ceil(F.count(F.lit(1)) / windows_per_task).alias("_parts"))
     w = w.join(crowd, ["chrom", "_place"]).withColumn("tile", F.concat_ws("|", "chrom", "_place", F.pmod(F.xxhash64("window_id"), F.col("_parts"))))
-    keep = ["tile", "window_id", "pheno_id", "chrom", "start", "end", "lo", "hi", *[c for c in ("fixed_alpha", "fixed_l1_ratio", "settings_id") if c in w.columns]]
+    keep = ["tile", "window_id", "pheno_id", "chrom", "start", "end", "lo", "hi", *[c for c in GIVEN if c in w.columns]]
     tiles = w.groupBy("tile", "chrom").agg(F.min("lo").alias("start"), F.max("hi").alias("end")).withColumnRenamed("tile", "window_id")
     g = cis_join(tiles, genotypes.select("chrom", "snp_idx", "snp", "pos", "dosages"), 0, False, width)
     prep = {"var_thresh": var_thresh, "impute_strategy": impute_strategy, "r2_thresh": r2_thresh, "distance": distance, "impute_first": impute_first}

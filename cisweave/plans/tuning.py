@@ -16,7 +16,8 @@ from cisweave.operators.cis import WINDOW_RUNNER, snp_counts
 from cisweave.operators.ranking import bounded_broadcast, priority, spread_rank
 from cisweave.plans.fit import fit_windows
 
-GRID_WINDOWS = {"c_lambda": (0.5, 1.0, 2.0), "c_ridge": (0.5, 1.0, 2.0), "subsample_frac": (0.5, 0.7, 0.9), "batch_size": (2048, 4096, 8192)}
+#: fixed values: the default grids
+GRID_WINDOWS = {"c_lambda": (0.7, 1.0, 1.4), "c_ridge": (0.5, 1.0, 2.0), "subsample_frac": (0.5, 0.7, 0.9), "batch_size": (2048, 4096, 8192)}
 GRID_SITES = {"c_lambda": (0.5, 0.7, 1.0, 1.4, 2.0), "c_ridge": (0.5, 1.0, 2.0), "subsample_frac": (0.6, 0.7, 0.8), "batch_size": (4096, 8192)}
 
 
@@ -79,6 +80,7 @@ def score_combos(loci: DataFrame, grid: DataFrame, genotypes: DataFrame, phenoty
     pairs = loci.where("m_raw > 1").join(bounded_broadcast(grid, 10_000))
     alpha, l1 = enet_from_targets(F.col("m_raw"), n, F.col("c_lambda"), F.col("c_ridge"))
     windows = pairs.withColumn("window_id", F.concat_ws("#", "window_id", "combo")).withColumn("fixed_alpha", alpha).withColumn("fixed_l1_ratio", l1)
+    windows = windows.withColumnsRenamed({"subsample_frac": "fixed_subsample_frac", "batch_size": "fixed_batch_size"})
     fitted = fit_windows(windows, genotypes, phenotypes, settings=replace(settings, n_trials=1), **options)
     r2 = fitted.where("status = 'ok'").select(F.substring_index("window_id", "#", -1).cast("int").alias("combo"), "final_r2")
     scores = r2.where("final_r2 IS NOT NULL AND NOT isnan(final_r2) AND abs(final_r2) < double('inf')").groupBy("combo").agg(F.median("final_r2").alias("score"))

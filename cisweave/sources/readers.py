@@ -48,6 +48,13 @@ def phenotypes(spark: SparkSession, path: str, header: bool = True) -> DataFrame
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else tsv(spark, path, header)
 
 
+def sample_ids(df: DataFrame, column: str | None = None) -> DataFrame:
+    """(sample_idx, sample_id): the values of a column of the sample table if it has that one, else its column names."""
+    if column in df.columns:
+        return with_sample_idx(df).select("sample_idx", F.col(f"`{column}`").cast("string").alias("sample_id"))
+    return df.sparkSession.createDataFrame(list(enumerate(df.columns)), "sample_idx int, sample_id string")
+
+
 def phenotype_column(df: DataFrame, pheno_id: str | None = None, y_pos: int | None = None) -> DataFrame:
     """One column, by position or else by name, as y."""
     name = df.columns[y_pos] if y_pos is not None else pheno_id

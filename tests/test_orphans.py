@@ -43,6 +43,13 @@ def test_more_than_one_word_of_keys(spark):
     assert found(spark, refs, parents, ranges=1) == [(0, 0, i) for i in range(300, 400)]
 
 
+def test_extra_columns_with_names_in_use(spark):
+    t = datetime(2023, 5, 1)
+    refs = spark.createDataFrame([(0, 0, "a", t, 1, "x", 2, 3)], REFS + ", period string, mask int, code int")
+    parents = spark.createDataFrame([(0, "b", t, None, 7)], PARENTS + ", rng int")
+    assert [tuple(r) for r in orphan_references(refs, parents).collect()] == [(0, 0, 1)]
+
+
 def test_edges_and_empty(spark):
     t = datetime(2023, 5, 1)
     parents = [(0, "a", t, datetime(2023, 6, 1))]
