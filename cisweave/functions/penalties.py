@@ -48,7 +48,7 @@ def auto_trials_number(m: int, most: int, least: int = 5) -> int:
 
 def clip01(x) -> Column:
     """Clipped to [0, 1]; NaN and null stay null."""
-    return F.when(~F.isnan(_c(x)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x))))
+    return F.when(_c(x).isNotNull() & ~F.isnan(_c(x)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x))))
 
 
 def validation_size(n, share: float = 0.2) -> Column:

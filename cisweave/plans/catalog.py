@@ -411,9 +411,9 @@ def h2_fallback(spark, folder):
     return table(spark, folder, "cpg_summary").select("summary_id", rounded(h2, 9).alias("h2")).where("h2 IS NOT NULL")
 
 
-@query("SELECT region_row, pos FROM error_regions ORDER BY region_row LIMIT 10")
+@query("SELECT region_row, coalesce(pos, -1) AS pos FROM error_regions ORDER BY region_row LIMIT 10")
 def first_windows(spark, folder):
-    return table(spark, folder, "error_regions").orderBy("region_row").limit(10).select("region_row", "pos")
+    return table(spark, folder, "error_regions").orderBy("region_row").limit(10).select("region_row", F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
 @query(f"SELECT chrom IN ('1', '2') AS held_out, count(*) AS n FROM (SELECT DISTINCT {ids.sql_site_chrom(_S)} AS chrom, {_S} AS k FROM sites) WHERE chrom IS NOT NULL GROUP BY 1")
