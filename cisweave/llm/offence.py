@@ -1,7 +1,8 @@
 """Score of abusive, hateful or sexual content for every document, from labelled sentences.
 
-A string-kernel machine (`string_svm`) is trained on the labelled sentences and on a bounded background of corpus
-sentences that count, with little trust, as harmless: BACKGROUND_DOCUMENTS documents of lowest hash. Labels that models
+A string-kernel machine (`string_svm`) is trained on the labelled sentences and on the corpus's most widespread sentences,
+which count, with little trust, as harmless unless the labels speak against them. How widespread a sentence is, is counted
+over all documents: by authors, copies of a text being one. Labels that models
 trained on the other folds contradict clearly are left out. A document's score is that of its worst sentence, over its
 whole text; it is a case above THRESHOLD.
 
@@ -23,11 +24,12 @@ from cisweave.llm.spelling import sentences
 from cisweave.llm.string_svm import Kernel, Machine, train
 
 #: bounds of what the classifier is fitted on (scoring covers everything)
-MOST_LABELS, BACKGROUND_DOCUMENTS, BACKGROUND_SENTENCES = 5_000, 600, 1_500
+MOST_LABELS, BACKGROUND_SENTENCES = 5_000, 5_000
 BACKGROUND_TRUST = 0.2
 MOST_COUNTED = 5
-#: a background sentence that the labels alone put above this is not taken for harmless
-OFFENDING = 0.3
+#: a background sentence that the labels alone put above this is not taken for harmless, however many say it. It is not
+#: THRESHOLD: without a background, text of which nothing is known scores about 0 and so would be left out
+OFFENDING = 0.15
 CONTRADICTED = 0.5
 THRESHOLD = -0.2
 CHUNK = 1_000
@@ -78,9 +80,9 @@ def fit(labels: pd.DataFrame, background: list[tuple[str, int]], folds: int = 3)
     keep = ~(((y > 0) & (best < -CONTRADICTED)) | ((y < 0) & (best > CONTRADICTED)))
     strings, y, of = [s for s, k in zip(strings, keep) if k], y[keep], of[keep]
     machine = _once(strings, y, of, 300)
-    # what many documents say is harmless all the more, unless the labels alone put it high
+    # what many authors say is harmless all the more, unless the labels alone put it high
     scored = zip(background, machine.score([s for s, _ in background]))
-    harmless = [(s, BACKGROUND_TRUST * min(n, MOST_COUNTED)) for (s, n), v in scored if v < OFFENDING + 0.1 * min(n - 1, 3)]
+    harmless = [(s, BACKGROUND_TRUST * min(n, MOST_COUNTED)) for (s, n), v in scored if v <= OFFENDING]
     use = _worst_only(strings, y, of, machine)
     own = [s for s, u in zip(strings, use) if u]
     trust = np.array([1.0] * len(own) + [t for _, t in harmless])
@@ -88,15 +90,23 @@ def fit(labels: pd.DataFrame, background: list[tuple[str, int]], folds: int = 3)
 
 
 def background(documents: DataFrame) -> list[tuple[str, int]]:
-    """Sentences of the documents of lowest hash with how often they occur there: at most BACKGROUND_SENTENCES, the most
-    frequent first, of equals those of lowest hash."""
-    chosen = documents.where("text IS NOT NULL").select(F.md5(F.col("doc_id").cast("string")).alias("h"), "text").sort("h").limit(BACKGROUND_DOCUMENTS)
+    """The BACKGROUND_SENTENCES most widespread sentences of all documents with how many authors wrote them, of equals those
+    of lowest hash. Copies of a text are one author's, the least; rows without one are one author's together. Documents
+    that have no column author_id are counted by rows."""
+    by_author = "author_id" in documents.columns
+    author = F.col("author_id").cast("string") if by_author else F.lit(None).cast("string")
+    texts = documents.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("t"), author.alias("author"))
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"s": [s for t in pdf["text"] for s in sentences(t)]}, dtype=object)
-
-    rows = chosen.select("text").mapInPandas(divide, "s string").groupBy("s").agg(F.count("*").alias("n"))
+            own = [(s, t, a) for text, t, a in zip(pdf["text"], pdf["t"], pdf["author"]) for s in dict.fromkeys(sentences(text))]
+            yield pd.DataFrame(own, columns=["s", "t", "author"]).astype({"t": "int64"})
+
+    rows = texts.mapInPandas(divide, "s string, t long, author string")
+    if by_author:
+        rows = rows.groupBy("s", "t").agg(F.min("author").alias("author")).groupBy("s").agg(F.count_distinct(F.coalesce("author", F.lit(""))).alias("n"))
+    else:
+        rows = rows.groupBy("s").agg(F.count("*").alias("n"))
     return [(r["s"], r["n"]) for r in rows.sort(F.desc("n"), F.crc32("s"), "s").limit(BACKGROUND_SENTENCES).collect()]
 
 

@@ -101,3 +101,18 @@ def test_scores_in_spark(spark):
     assert {r.score for r in offence.scores(docs, None).collect()} == {None}
     assert offence.fit(labels().head(0), []) is None
     assert offence.background(docs)[0][1] >= 2
+
+
+def test_background_counts_all_documents_by_author(spark):
+    docs = [(i, f"Greetings to all. Text number w{'ab'[i % 2]}{'x' * (i % 7)}y.", i % 900) for i in range(1_000)]
+    docs += [(2_000 + i, "Buy this now.", 5) for i in range(50)] + [(3_000 + i, "One text of many.", i) for i in range(50)] + [(4_000, None, 1), (4_001, "Nobody wrote it.", None)]
+    got = dict(offence.background(spark.createDataFrame(docs, "doc_id long, text string, author_id long")))
+    assert got["buy this now"] == got["one text of many"] == got["nobody wrote it"] == 1
+    varied = [(i, f"Greetings to all. It is {'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}.", i % 900) for i in range(1_000)]
+    assert dict(offence.background(spark.createDataFrame(varied, "doc_id long, text string, author_id long")))["greetings to all"] == 900
+
+
+def test_repetition_makes_no_case_harmless():
+    s = "i want you nude on my desk tonight legs wide open"
+    alone = offence.fit(labels(), []).score([s])[0]
+    assert alone > offence.OFFENDING and offence.fit(labels(), [(s, 50)]).score([s])[0] == pytest.approx(alone)
