@@ -13,6 +13,7 @@ sizes are packed in the order of their keys; null capacities are left out, one b
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,37 +85,83 @@ def _gain(gap: int, mine: dict[int, list[int]], theirs: dict[int, list[int]]) ->
     return best
 
 
-def local_search(bins: list[list[int]], sizes: Sequence[int], capacity: int, tries: int = 32, full: float = FULL) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: Sequence[int], capacity: int, full: float = FULL) -> list[list[int]]:
     """Exchanges between underfull containers, each of which raises the sum of squared fills, until none does: the
-    emptier one gives to the fuller one by a move, a swap of one for one or of two for one; empty containers go. A
-    container is tried against the `tries` with most room that are at least as full; one filled to `full` is left alone."""
+    emptier one gives to the fuller one by a move, a swap of one for one or of two for one; empty containers go. One
+    filled to `full` is left alone. Containers of the same sizes are one profile. A container is tried against every
+    profile at least as full, the one with most room first, and never again against one that its own profile was tried
+    with in vain."""
     groups: list[dict[int, list[int]]] = [{} for _ in bins]
     for b, items in enumerate(bins):
         for i in items:
             groups[b].setdefault(sizes[i], []).append(i)
     fill = [sum(sizes[i] for i in items) for items in bins]
+    number: dict[tuple, int] = {}
+    members: list[dict[int, None]] = []
+    born: list[int] = []  # when a profile got its first or second member
+    tried: list[int] = []  # when a profile was last tried against all others in vain
+    profile = [-1] * len(bins)
+    order: list[tuple[int, int]] = []  # (fill, profile) of those with members
+    clock = 0
+
+    def live(b: int) -> bool:
+        return 0 < fill[b] < full * capacity
+
+    def enter(b: int) -> None:
+        nonlocal clock
+        if not live(b):
+            return
+        p = profile[b] = number.setdefault(tuple(sorted((s, len(own)) for s, own in groups[b].items())), len(number))
+        if p == len(members):
+            members.append({})
+            born.append(0)
+            tried.append(-1)
+        members[p][b] = None
+        if len(members[p]) == 1:
+            insort(order, (fill[b], p))
+        if len(members[p]) <= 2:
+            clock += 1
+            born[p] = clock
+
+    def leave(b: int) -> None:
+        p = profile[b]
+        del members[p][b]
+        if not members[p]:
+            del order[bisect_left(order, (fill[b], p))]
+
+    def partner(low: int) -> tuple[int, tuple[int, list[int], list[int]]] | None:
+        p = profile[low]
+        if tried[p] < clock:
+            for n in range(bisect_left(order, (fill[low], -1)), len(order)):
+                q = order[n][1]
+                if born[q] > tried[p] and (b := next((b for b in members[q] if b != low), None)) is not None:
+                    found = _gain(capacity - fill[b], groups[low], groups[b])
+                    if found is not None:
+                        return b, found
+            tried[p] = clock
+        return None
+
+    for b in range(len(bins)):
+        enter(b)
     changed = True
     while changed:
         changed = False
-        live = sorted((b for b in range(len(bins)) if 0 < fill[b] < full * capacity), key=lambda b: (fill[b], b))
-        for n, low in enumerate(live):
-            for b in live[n + 1 : n + 1 + tries]:
-                while 0 < fill[low] and fill[b] < capacity:
-                    found = _gain(capacity - fill[b], groups[low], groups[b])
-                    if found is None or fill[b] + found[0] <= fill[low]:
-                        break
-                    d, out, back = found
-                    for sent, source, target in ((out, low, b), (back, b, low)):
-                        for s in sent:
-                            i = groups[source][s].pop()
-                            if not groups[source][s]:
-                                del groups[source][s]
-                            groups[target].setdefault(s, []).append(i)
-                    fill[low] -= d
-                    fill[b] += d
-                    changed = True
-                if not fill[low]:
-                    break
+        for low in sorted(filter(live, range(len(bins))), key=lambda b: (fill[b], b)):
+            while live(low) and (found := partner(low)) is not None:
+                b, (d, out, back) = found
+                leave(low)
+                leave(b)
+                for sent, source, target in ((out, low, b), (back, b, low)):
+                    for s in sent:
+                        i = groups[source][s].pop()
+                        if not groups[source][s]:
+                            del groups[source][s]
+                        groups[target].setdefault(s, []).append(i)
+                fill[low] -= d
+                fill[b] += d
+                enter(low)
+                enter(b)
+                changed = True
     return [items for g in groups if (items := [i for own in g.values() for i in own])]
 
 

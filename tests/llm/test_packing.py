@@ -30,6 +30,28 @@ def test_two_for_one():
     assert all(sum(sizes[i] for i in b) <= 13 for b in out) and len(out) == 2
 
 
+def test_partner_behind_many_equal_containers():
+    # 50 for 48 fills the last container, 48 then fits beside 52; the 40 containers of fill 60 can exchange nothing
+    start = [[50], [52], *[[60]] * 40, [48, 50]]
+    sizes = [s for b in start for s in b]
+    at = iter(range(len(sizes)))
+    out = packing.local_search([[next(at) for _ in b] for b in start], sizes, 100)
+    assert sorted(i for b in out for i in b) == list(range(len(sizes)))
+    assert len(out) == 42 and sorted(sum(sizes[i] for i in b) for b in out) == [60] * 40 + [100, 100]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=60), st.integers(60, 120))
+def test_no_exchange_is_left(sizes, capacity):
+    bins = packing.local_search([[i] for i in range(len(sizes))], sizes, capacity)
+    held = [{s: [i for i in b if sizes[i] == s] for s in {sizes[i] for i in b}} for b in bins]
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for low in range(len(bins)):
+        for b in range(len(bins)):
+            if low != b and fill[low] <= fill[b] < packing.FULL * capacity:
+                assert packing._gain(capacity - fill[b], held[low], held[b]) is None
+
+
 def rows(spark, items, caps, **kw):
     return packing.pack_items(spark.createDataFrame(items, "item long, size int, container string"), spark.createDataFrame(caps, "pack_id int, capacity int, block int")).collect()
 
