@@ -439,9 +439,6 @@ def ridge_grid_argmin(spark, folder):
 
 # Fits
 
-FAST = Settings(n_iter=30, n_trials=5)
-
-
 def _inputs(spark, folder):
     from cisweave import storage
 
@@ -454,7 +451,7 @@ def run_windows(spark, folder):
     """Two windows that span a chromosome's variants, with searched penalties."""
     geno, y = _inputs(spark, folder)
     w = spark.createDataFrame([("w1", "1", 100000, 106200, "planted"), ("w2", "2", 100000, 106200, "planted")], "window_id string, chrom string, start long, `end` long, pheno_id string")
-    return fit.summary(fit.fit_windows(w, geno, y, window_size=500_000, settings=FAST))
+    return fit.summary(fit.fit_windows(w, geno, y, window_size=500_000))
 
 
 @query()
@@ -462,16 +459,15 @@ def run_cpgs(spark, folder):
     """All sites with penalties by formula; blacklisted and empty ones keep a status."""
     geno, y = _inputs(spark, folder)
     w = cis.windows_of_sites(fx.sites(spark)).withColumn("pheno_id", F.lit("planted"))
-    w = fit.with_fixed_penalties(w, geno.select("chrom", "pos", "snp_idx", "snp"), 500, window_size=fx.HALF)
+    w = fit.with_fixed_penalties(w, geno.select("chrom", "pos", "snp_idx", "snp"), tuning.infer_n(genotypes=geno), window_size=fx.HALF)
     regions = spark.createDataFrame([("1_101600",)], "cpg_id string")
-    return pipeline.run_windows(w, geno, y, regions=regions, window_size=fx.HALF, settings=FAST)
+    return pipeline.run_windows(w, geno, y, regions=regions, window_size=fx.HALF)
 
 
 @query()
 def global_tune(spark, folder):
-    """Every combination's median score over the sites."""
+    """The combination of the default grid with the best median score over the sites."""
     geno, y = _inputs(spark, folder)
     w = cis.windows_of_sites(fx.sites(spark)).withColumn("pheno_id", F.lit("planted"))
-    counted = cis.snp_counts(w, geno.select("chrom", "pos", "snp_idx", "snp"), fx.HALF, True)
-    combos = tuning.grid_of(spark, {"c_lambda": (0.5, 1.0, 2.0), "c_ridge": (0.5, 1.0), "subsample_frac": (0.7,), "batch_size": (4096,)})
-    return tuning.score_combos(counted, combos, geno, y, 500, FAST, window_size=fx.HALF)
+    best = tuning.global_tune(w, geno, y, window_size=fx.HALF)
+    return spark.createDataFrame([best], "c_lambda double, c_ridge double, subsample_frac double, batch_size int, score double")
