@@ -19,7 +19,8 @@ from itertools import combinations
 
 import numpy as np
 
-BITS = 20
+#: of a subsequence's hash; the other 20 number the strings of a call
+BITS = 44
 
 
 @dataclass(frozen=True)
@@ -80,27 +81,35 @@ def occurrences(strings: Sequence[str], k: Kernel) -> tuple[np.ndarray, np.ndarr
     return (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64), np.bincount(inverse, weight)
 
 
+def normed(strings: Sequence[str], k: Kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like occurrences(), the weights divided by their string's norm."""
+    who, feature, weight = occurrences(strings, k)
+    norm = np.sqrt(np.bincount(who, weight**2, len(strings)) + k.ground**2)
+    return who, feature, (weight / norm[who]).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Sparse:
-    """Occurrences of strings as rows, each divided by its norm."""
+    """Occurrences of strings as rows, each divided by its norm; `columns` has the hash of each feature, ascending."""
 
     who: np.ndarray
     feature: np.ndarray
     weight: np.ndarray
     count: int
+    columns: np.ndarray
 
     @staticmethod
     def of(strings: Sequence[str], k: Kernel) -> Sparse:
-        who, feature, weight = occurrences(strings, k)
-        norm = np.sqrt(np.bincount(who, weight**2, len(strings)) + k.ground**2)
-        return Sparse(who, feature, (weight / norm[who]).astype(np.float32), len(strings))
+        who, hashed, weight = normed(strings, k)
+        columns, feature = np.unique(hashed, return_inverse=True)
+        return Sparse(who, feature, weight, len(strings), columns)
 
     def times(self, dense: np.ndarray) -> np.ndarray:
         return np.bincount(self.who, self.weight * dense[self.feature], self.count)
 
     def row(self, i: int) -> np.ndarray:
         start, end = np.searchsorted(self.who, [i, i + 1])
-        dense = np.zeros(1 << BITS, np.float32)
+        dense = np.zeros(len(self.columns), np.float32)
         dense[self.feature[start:end]] = self.weight[start:end]
         return dense
 
@@ -110,7 +119,7 @@ def landmarks(rows: Sparse, most: int) -> tuple[np.ndarray, np.ndarray]:
     explain least. One column of kernels is made per landmark; the whole matrix never exists. A subsequence of one string
     only adds to no kernel but the string's with itself, so it is left out of the products."""
     own = np.bincount(rows.who, rows.weight.astype(float) ** 2, rows.count)
-    shared = (np.bincount(rows.feature, minlength=1 << BITS) > 1)[rows.feature]
+    shared = (np.bincount(rows.feature, minlength=len(rows.columns)) > 1)[rows.feature]
     columns, feature = np.unique(rows.feature[shared], return_inverse=True)
     who, weight = rows.who[shared], rows.weight[shared]
     start = np.searchsorted(who, np.arange(rows.count + 1))
@@ -162,14 +171,21 @@ def train_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 6
 
 @dataclass(frozen=True)
 class Machine:
-    """One weight per hashed subsequence and a bias: the folded decision function."""
+    """One weight per subsequence of the landmarks, by ascending hash, and a bias: the folded decision function. Other
+    subsequences have none."""
 
     kernel: Kernel
+    columns: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, strings: Sequence[str]) -> np.ndarray:
-        return Sparse.of(strings, self.kernel).times(self.weights) + self.bias if len(strings) else np.zeros(0)
+        if not len(strings):
+            return np.zeros(0)
+        who, feature, weight = normed(strings, self.kernel)
+        at = np.minimum(np.searchsorted(self.columns, feature), len(self.columns) - 1)
+        known = self.columns[at] == feature
+        return np.bincount(who[known], weight[known] * self.weights[at[known]], len(strings)) + self.bias
 
 
 def train(strings: Sequence[str], y: np.ndarray, trust: np.ndarray | None = None, kernel: Kernel = Kernel(), most: int = 400, c: float = 3.0) -> Machine:
@@ -180,8 +196,9 @@ def train(strings: Sequence[str], y: np.ndarray, trust: np.ndarray | None = None
     keep = values > 1e-6
     root = u[:, keep] / np.sqrt(values[keep])
     w = train_linear(kernels @ root, y, c * (np.ones(len(y)) if trust is None else trust))
-    folded = np.zeros(1 << BITS, np.float32)
+    folded = np.zeros(len(rows.columns), np.float32)
     for i, beta in zip(at, root @ w[:-1]):
         start, end = np.searchsorted(rows.who, [i, i + 1])
         folded[rows.feature[start:end]] += beta * rows.weight[start:end]
-    return Machine(kernel, folded, float(w[-1]))
+    own = np.flatnonzero(folded)
+    return Machine(kernel, rows.columns[own], folded[own], float(w[-1]))

@@ -4,7 +4,7 @@ import pytest
 
 from cisweave.llm import offence
 from cisweave.llm.spelling import sentences
-from cisweave.llm.string_svm import Kernel, Sparse, landmarks, train
+from cisweave.llm.string_svm import Kernel, Sparse, landmarks, occurrences, train
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -116,3 +116,24 @@ def test_repetition_makes_no_case_harmless():
     s = "i want you nude on my desk tonight legs wide open"
     alone = offence.fit(labels(), []).score([s])[0]
     assert alone > offence.OFFENDING and offence.fit(labels(), [(s, 50)]).score([s])[0] == pytest.approx(alone)
+
+
+def test_hashes_of_many_subsequences_stay_apart():
+    rng = np.random.default_rng(1)
+    strings = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(1_500)]
+
+    def exact():
+        from itertools import combinations
+
+        out = set()
+        for t in (f" {s} " for s in strings):
+            for steps in combinations(range(1, 6), 3):
+                out.update((t[i], *(t[i + j] for j in steps)) for i in range(len(t) - steps[-1]))
+        return out
+
+    assert len(np.unique(occurrences(strings, Kernel())[1])) == len(exact()) + len(strings)  # every string is a word too
+
+
+def test_no_weight_for_unseen_subsequences():
+    m = train(["you stupid fool", "you idiot", "the cache is cold", "read the file again"], np.array([1, 1, -1, -1]))
+    assert (m.score(["zqxj vwkz qqzx jjvk " * 50]) == m.bias).all()
