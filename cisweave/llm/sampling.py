@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +45,22 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return proportional.draw(members, allocated, SEED).withColumnRenamed("key", "site")
 
 
+def _ledger_path(spark: SparkSession, folder: str) -> str:
+    """Where the sample of a table folder lasts in the shared folder; storage.clear() leaves it. Other seeds and shares
+    have ledgers of their own."""
+    name = hashlib.md5(f"{os.path.abspath(folder)}|{SEED}|{P4_SHARE}|{P4_LEAST}".encode()).hexdigest()
+    return f"{storage.shared_dir(spark)}/cisweave-ledgers/p4_sample-{name}"
+
+
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Sites selected per chromosome, with the batch of the manifest that added each."""
     key = ids.site_key("cpg_id")
     rows = table(spark, folder, "sites").select(key.alias("key"), ids.site_chrom(key, "chrom").alias("grp"), F.col("batch_no").alias("batch"))
     population = storage.materialise(ledger.members(rows, SEED), "population")
-    chosen = ledger.grow(population, storage.scratch_path(spark, "ledger"), P4_SHARE, P4_LEAST)
-    return chosen.select(F.col("key").alias("site"), F.col("grp").alias("chrom"), F.col("batch").cast("long").alias("batch"))
+    chosen = ledger.grow(population, _ledger_path(spark, folder), P4_SHARE, P4_LEAST)
+    # a round for rows that came late under an old batch has no number: the site's own batch
+    own = population.select("key", F.col("batch").alias("own"))
+    return chosen.join(own, "key", "left").select(F.col("key").alias("site"), F.col("grp").alias("chrom"), F.coalesce(F.expr("try_cast(batch AS long)"), "own").alias("batch"))
 
 
 _SITE = ids.sql_site("cpg_id")

@@ -1,7 +1,7 @@
 import hashlib
 import math
 
-from cisweave.llm import ledger
+from cisweave.llm import ledger, sampling
 
 
 def pri(seed, k):
@@ -64,3 +64,15 @@ def test_empty_population(spark, tmp_path):
     assert sample(spark, [], f"{tmp_path}/e").count() == 0
     assert sample(spark, [(None, "a", 1)], f"{tmp_path}/e").count() == 0
     assert [r.key for r in sample(spark, [("x", None, None)], f"{tmp_path}/e").collect()] == ["x"]
+
+
+def test_query_keeps_earlier_sites_as_tables_grow(spark, tmp_path):
+    def write(rows):
+        spark.createDataFrame(rows, "cpg_id string, chrom string, batch_no int").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/sites.parquet")
+        return {r.site for r in sampling.p4_sample(spark, str(tmp_path)).collect()}
+
+    rows = [(f"1_{1000 + i}", "1", 1) for i in range(100)]
+    early = write(rows)
+    assert write(rows) == early and len(early) == 10
+    late = write([*rows, *[(f"1_{5000 + i}", "1", 1) for i in range(300)]])  # under the old batch
+    assert early < late and len(late) == 40
