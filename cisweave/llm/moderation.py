@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cisweave import storage
 from cisweave.llm import offence
 from cisweave.tables import table
 
 
 def _scores(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    machine = offence.machine_of(documents, table(spark, folder, "content_labels"))
-    return offence.scores(documents, machine, ("doc_id", *keep))
+    said = storage.materialise(offence.distinct_sentences(documents), "sentences")
+    machine = offence.machine_of(said, table(spark, folder, "content_labels"))
+    return offence.scores(documents, said, machine, ("doc_id", *keep))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

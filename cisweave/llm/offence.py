@@ -1,10 +1,12 @@
 """Score of abusive, hateful or sexual content for every document, from labelled sentences.
 
-A string-kernel machine (`string_svm`) is trained on the labelled sentences and on the corpus's most widespread sentences,
-which count, with little trust, as harmless unless the labels speak against them. How widespread a sentence is, is counted
-over all documents: by authors, copies of a text being one. Labels that models
+A string-kernel machine (`string_svm`) is trained on the labelled sentences and on sentences of the corpus about which
+counts over all documents leave no doubt. Offenders address people and disguise their spelling far more often than
+others do; how often, the labels and the corpus say. Each occurrence of a phrase of three words is such evidence for or
+against it (a log likelihood ratio; copies of a text are one), and phrases with much of it give one sentence each:
+offending ones said so in several texts, and harmless ones that are widespread and are never said so. Labels that models
 trained on the other folds contradict clearly are left out. A document's score is that of its worst sentence, over its
-whole text; it is a case above THRESHOLD.
+whole text; it is a case above 0, the machine's own boundary.
 
 Defined results: a null or empty text, or one without letters, has a null score and is no case; null labels are not
 used; with fewer than one label of either kind every score is null; repeated rows are scored each.
@@ -13,26 +15,30 @@ used; with fewer than one label of either kind every score is null; repeated row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cisweave.llm.spelling import sentences
-from cisweave.llm.string_svm import Kernel, Machine, train
+from cisweave import storage
+from cisweave.llm.spelling import MANNERS, sentences, sentences_said
+from cisweave.llm.string_svm import Machine, train
 
-#: bounds of what the classifier is fitted on (scoring covers everything)
-MOST_LABELS, BACKGROUND_SENTENCES = 5_000, 5_000
-BACKGROUND_TRUST = 0.2
-MOST_COUNTED = 5
-#: a background sentence that the labels alone put above this is not taken for harmless, however many say it. It is not
-#: THRESHOLD: without a background, text of which nothing is known scores about 0 and so would be left out
-OFFENDING = 0.15
+#: bound of the labelled rows that the classifier is fitted on
+MOST_LABELS = 5_000
 CONTRADICTED = 0.5
-THRESHOLD = -0.2
+THRESHOLD = 0.0
 CHUNK = 1_000
+WORDS = 3
+#: least evidence of an offending phrase, also as a share of all such evidence; together they bound how many there are
+OFFENDING, OFFENDING_SHARE = 5.0, 2e-4
+#: most evidence of a harmless phrase, and the least share of the texts that hold it; these bound their number too
+HARMLESS, HARMLESS_SHARE = -4.0, 3e-3
+#: sentences drawn, by hash, for a harmless phrase
+DRAWN = 4
 
 
 def labelled(rows: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -65,7 +71,15 @@ def _once(strings: list[str], y: np.ndarray, of: np.ndarray, most: int) -> Machi
     return machine if (use == single).all() else train([s for s, u in zip(strings, use) if u], y[use], most=most)
 
 
-def fit(labels: pd.DataFrame, background: list[tuple[str, int]], folds: int = 3) -> Machine | None:
+@dataclass(frozen=True)
+class Exemplars:
+    """Sentences of the corpus taken for offending or harmless."""
+
+    offending: list[str] = field(default_factory=list)
+    harmless: list[str] = field(default_factory=list)
+
+
+def fit(labels: pd.DataFrame, exemplars: Exemplars = Exemplars(), folds: int = 3) -> Machine | None:
     strings, y, of = labelled(labels)
     if not (y > 0).any() or not (y < 0).any():
         return None
@@ -79,78 +93,98 @@ def fit(labels: pd.DataFrame, background: list[tuple[str, int]], folds: int = 3)
     best = pd.Series(score).groupby(of).transform("max").to_numpy()
     keep = ~(((y > 0) & (best < -CONTRADICTED)) | ((y < 0) & (best > CONTRADICTED)))
     strings, y, of = [s for s, k in zip(strings, keep) if k], y[keep], of[keep]
-    machine = _once(strings, y, of, 300)
-    # what many authors say is harmless all the more, unless the labels alone put it high
-    scored = zip(background, machine.score([s for s, _ in background]))
-    harmless = [(s, BACKGROUND_TRUST * min(n, MOST_COUNTED)) for (s, n), v in scored if v <= OFFENDING]
-    use = _worst_only(strings, y, of, machine)
+    use = _worst_only(strings, y, of, _once(strings, y, of, 300))
     own = [s for s, u in zip(strings, use) if u]
-    trust = np.array([1.0] * len(own) + [t for _, t in harmless])
-    return train(own + [s for s, _ in harmless], np.r_[y[use], -np.ones(len(harmless))], trust, most=500)
+    more = exemplars.offending + exemplars.harmless
+    return train(own + more, np.r_[y[use], np.ones(len(exemplars.offending)), -np.ones(len(exemplars.harmless))], most=500)
 
 
-def background(documents: DataFrame) -> list[tuple[str, int]]:
-    """The BACKGROUND_SENTENCES most widespread sentences of all documents with how many authors wrote them, of equals those
-    of lowest hash. Copies of a text are one author's, the least; rows without one are one author's together. Documents
-    that have no column author_id are counted by rows."""
-    by_author = "author_id" in documents.columns
-    author = F.col("author_id").cast("string") if by_author else F.lit(None).cast("string")
-    texts = documents.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("t"), author.alias("author"))
+def manner_rates(labels: pd.DataFrame) -> tuple[dict[int, float], dict[int, float]]:
+    """Of the sentences of offending and of harmless examples, the share said in each manner (half a count added)."""
+    said = [(m, label.strip().lower() != "none") for text, label in zip(labels["example_text"], labels["label"]) if isinstance(label, str) and label.strip() for _, m in sentences_said(text)]
+    rates = []
+    for kind in (True, False):
+        own = [m for m, offends in said if offends is kind]
+        rates.append({b: (sum(bool(m & b) for m in own) + 0.5) / (len(own) + 1) for b in MANNERS})
+    return rates[0], rates[1]
 
-    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [(s, t, a) for text, t, a in zip(pdf["text"], pdf["t"], pdf["author"]) for s in dict.fromkeys(sentences(text))]
-            yield pd.DataFrame(own, columns=["s", "t", "author"]).astype({"t": "int64"})
-
-    rows = texts.mapInPandas(divide, "s string, t long, author string")
-    if by_author:
-        rows = rows.groupBy("s", "t").agg(F.min("author").alias("author")).groupBy("s").agg(F.count_distinct(F.coalesce("author", F.lit(""))).alias("n"))
-    else:
-        rows = rows.groupBy("s").agg(F.count("*").alias("n"))
-    return [(r["s"], r["n"]) for r in rows.sort(F.desc("n"), F.crc32("s"), "s").limit(BACKGROUND_SENTENCES).collect()]
 
+def distinct_sentences(documents: DataFrame) -> DataFrame:
+    """(t, said: array of (s, m)): the sentences and their manners of each distinct text, t being its hash."""
+    texts = documents.where("text IS NOT NULL").select(F.xxhash64("text").alias("t"), "text").groupBy("t").agg(F.any_value("text").alias("text"))
 
-def machine_of(documents: DataFrame, labels: DataFrame) -> Machine | None:
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            said = [sentences_said(text) for text in pdf["text"]]
+            yield pd.DataFrame({"t": pdf["t"], "s": [[s for s, _ in x] for x in said], "m": [[m for _, m in x] for x in said]})
+
+    return texts.mapInPandas(divide, "t long, s array<string>, m array<int>")
+
+
+def _phrases(s: Column) -> Column:
+    w = F.split(F.concat(F.lit("^ "), s, F.lit(" $")), " ")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(WORDS)])))
+
+
+def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
+    """Sentences that counts over all texts show to be offending or harmless. said: of distinct_sentences()."""
+    rows = said.select(F.explode(F.arrays_zip("s", "m")).alias("x")).select("x.s", "x.m")
+    with_manner = [F.sum(F.when(F.col("m").bitwiseAND(b) != 0, 1).otherwise(0)).alias(f"b{b}") for b in MANNERS]
+    total = rows.agg(F.count("*").alias("n"), *with_manner).first()
+    if not total["n"]:
+        return Exemplars()
+    offending, harmless = manner_rates(labels)
+    odds = F.lit(0.0)
+    for b in MANNERS:
+        # of harmless sentences at most the share of all; a manner that labels do not set apart is no evidence
+        q, q0 = offending[b], (total[f"b{b}"] + 0.5) / (total["n"] + 1)
+        if q > harmless[b] and q > q0:
+            odds = odds + F.when(F.col("m").bitwiseAND(b) != 0, float(np.log(q / q0))).otherwise(float(np.log((1 - q) / (1 - q0))))
+    n_texts = said.count()
+    counted = rows.select(F.explode(_phrases(F.col("s"))).alias("p"), "m").groupBy("p", "m").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("p").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e"), F.sum(F.when(F.col("m") > 0, F.col("n"))).alias("n_said"))
+    strong = storage.materialise(counted.where(((F.col("e") > OFFENDING) & (F.col("n_said") > 1)) | ((F.col("e") < HARMLESS) & (F.col("n") >= HARMLESS_SHARE * n_texts))), "phrases")
+    least = OFFENDING_SHARE * (strong.where("e > 0").agg(F.sum("e")).first()[0] or 0.0)
+    strong = strong.where((F.col("e") < 0) | (F.col("e") > least)).select("p", (F.col("e") > 0).alias("offends"))
+    # a sentence is named by its hash; its text is joined at the end only
+    rows = rows.groupBy("s").agg(F.max("m").alias("m")).select("s", "m", F.xxhash64("s").alias("h"))
+    held = rows.select("h", "m", F.explode(_phrases(F.col("s"))).alias("p")).join(F.broadcast(strong), "p")
+    of = held.groupBy("h").agg(F.max("m").alias("m"), F.count_if("offends").alias("many"), F.collect_list(F.struct("p", "offends")).alias("held"))
+    chosen = of.select("h", "m", "many", F.explode("held").alias("x")).select("h", "m", "many", "x.p", "x.offends")
+    chosen = chosen.where((F.col("offends") & (F.col("many") > 1) & (F.col("m") > 0)) | (~F.col("offends") & (F.col("many") == 0)))
+    drawn = [F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("k"), "h"))["h"] for k in range(DRAWN)]
+    named = chosen.groupBy("p", "offends").agg(F.array(*drawn).alias("h")).select("offends", F.explode(F.when(F.col("offends"), F.slice("h", 1, 1)).otherwise(F.col("h"))).alias("h")).distinct()
+    out = rows.select("h", "s").join(F.broadcast(named), "h").select("s", "offends").distinct().sort("s").collect()
+    return Exemplars([r["s"] for r in out if r["offends"]], [r["s"] for r in out if not r["offends"]])
+
+
+def machine_of(said: DataFrame, labels: DataFrame) -> Machine | None:
     rows = labels.select("example_id", "example_text", "label").sort("example_id").limit(MOST_LABELS).toPandas()
-    return fit(rows, background(documents))
+    return fit(rows, exemplars(said, rows))
 
 
-def scores(documents: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """documents' columns `keep` with `score` (double or null) and `worst`, the normalised sentence behind it."""
+def scores(documents: DataFrame, said: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """documents' columns `keep` with `score` (double or null) and `worst`, the normalised sentence behind it.
+    said: of distinct_sentences(documents)."""
     shared = documents.sparkSession.sparkContext.broadcast(machine)
-    fields = documents.select(*keep).schema
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Machine | None = shared.value
         for pdf in batches:
             best = np.full(len(pdf), np.nan)
             worst: list[str | None] = [None] * len(pdf)
-            strings: list[str] = []
-            of: list[int] = []
-
-            def settle() -> None:
-                for i, s, v in zip(of, strings, m.score(strings)):
-                    if not best[i] >= v:
-                        best[i], worst[i] = v, s
-                strings.clear()
-                of.clear()
-
-            for i, text in enumerate(pdf["_text"] if m else []):
-                for s in sentences(text):
-                    strings.append(s)
-                    of.append(i)
-                    if len(strings) >= CHUNK:
-                        settle()
-            if strings:
-                settle()
-            out = pdf[list(keep)].copy()
-            out["score"] = pd.array(best, dtype="Float64")
+            of = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["s"]])
+            distinct, at = np.unique(np.array([s for x in pdf["s"] for s in x], dtype=object), return_inverse=True) if len(of) and m else (np.array([], object), np.array([], int))
+            value = np.concatenate([m.score(list(distinct[i : i + CHUNK])) for i in range(0, len(distinct), CHUNK)]) if len(distinct) else np.array([])
+            for i, k in zip(of, at):
+                if not best[i] >= value[k]:
+                    best[i], worst[i] = value[k], distinct[k]
+            out = pd.DataFrame({"_t": pdf["t"], "score": pd.array(best, dtype="Float64"), "worst": worst})
             out.loc[np.isnan(best), "score"] = pd.NA
-            out["worst"] = worst
             yield out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, worst string"
-    return documents.select(*keep, F.col("text").alias("_text")).mapInPandas(score, schema)
+    scored = said.mapInPandas(score, "_t long, score double, worst string")
+    return documents.select(*keep, F.xxhash64("text").alias("_t")).join(scored, "_t", "left").select(*keep, "score", "worst")
 
 
 def cases(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,12 +26,12 @@ BITS = 44
 @dataclass(frozen=True)
 class Kernel:
     letters: int = 4
-    gap: int = 2
+    gap: int = 1
     decay: float = 0.6
     word: float = 12.0
     words: float = 4.0
     #: norm of text that says nothing, added to every string: a few letters alone are no evidence
-    ground: float = 10.0
+    ground: float = 20.0
 
 
 def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -37,6 +37,11 @@ def _char(m: re.Match) -> str:
 
 def plain(text: str) -> str:
     """Lower-case text without markup, escapes, accents and invisible characters."""
+    return cased(text).lower()
+
+
+def cased(text: str) -> str:
+    """plain() with the letters' case as it was."""
     t = text
     if "\\" in t:
         t = ESCAPE.sub(" ", UNICODE_ESCAPE.sub(_char, t))
@@ -47,7 +52,7 @@ def plain(text: str) -> str:
     if not t.isascii():
         t = BROKEN.sub(_mend, t)
         t = "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) not in ("Mn", "Cf", "Me", "Co", "Cn"))
-    return t.lower()
+    return t
 
 
 def words(text: str | None) -> list[str]:

@@ -81,9 +81,9 @@ def labels():
 def test_held_out_accuracy():
     rows = labels().dropna(subset=["label"]).reset_index(drop=True)
     test = rows["example_id"].astype(int) % 4 == 0
-    m = offence.fit(rows[~test], [])
+    m = offence.fit(rows[~test])
     held = rows[test]
-    got = np.array([max(m.score(s), default=-9) > 0 if (s := sentences(t)) else False for t in held["example_text"]])
+    got = np.array([max(m.score(s), default=-9) > offence.THRESHOLD if (s := sentences(t)) else False for t in held["example_text"]])
     truth = (held["label"] != "none").to_numpy()
     assert (got == truth).mean() > 0.9  # a few labels are wrong
 
@@ -93,29 +93,51 @@ def test_scores_in_spark(spark):
         [(1, "Delete your account, you disgusting moron.", "a"), (2, "The cache is stale. Read it again.", "a"), (3, None, "b"), (4, "", "b"), (5, "...", None), (6, "The plan is fine. " * 3000 + "Go crawl back under your rock, you halfwit.", "b"), (2, "The cache is stale. Read it again.", "a")],
         "doc_id long, text string, source string",
     )
-    m = offence.fit(labels(), [])
-    got = {r.doc_id: r.score for r in offence.scores(docs, m, ("doc_id", "source")).collect()}
+    m, said = offence.fit(labels()), offence.distinct_sentences(docs)
+    rows = offence.scores(docs, said, m, ("doc_id", "source")).collect()
+    got = {r.doc_id: r.score for r in rows}
+    assert len(rows) == docs.count()
     assert got[1] > 0 and got[6] > 0 and got[2] < 0 and got[3] is None and got[4] is None and got[5] is None
-    assert sorted(r.doc_id for r in offence.cases(offence.scores(docs, m), 0.0).collect()) == [1, 6]
-    assert offence.scores(docs.limit(0), m).count() == 0
-    assert {r.score for r in offence.scores(docs, None).collect()} == {None}
-    assert offence.fit(labels().head(0), []) is None
-    assert offence.background(docs)[0][1] >= 2
-
-
-def test_background_counts_all_documents_by_author(spark):
-    docs = [(i, f"Greetings to all. Text number w{'ab'[i % 2]}{'x' * (i % 7)}y.", i % 900) for i in range(1_000)]
-    docs += [(2_000 + i, "Buy this now.", 5) for i in range(50)] + [(3_000 + i, "One text of many.", i) for i in range(50)] + [(4_000, None, 1), (4_001, "Nobody wrote it.", None)]
-    got = dict(offence.background(spark.createDataFrame(docs, "doc_id long, text string, author_id long")))
-    assert got["buy this now"] == got["one text of many"] == got["nobody wrote it"] == 1
-    varied = [(i, f"Greetings to all. It is {'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}.", i % 900) for i in range(1_000)]
-    assert dict(offence.background(spark.createDataFrame(varied, "doc_id long, text string, author_id long")))["greetings to all"] == 900
-
-
-def test_repetition_makes_no_case_harmless():
-    s = "i want you nude on my desk tonight legs wide open"
-    alone = offence.fit(labels(), []).score([s])[0]
-    assert alone > offence.OFFENDING and offence.fit(labels(), [(s, 50)]).score([s])[0] == pytest.approx(alone)
+    assert sorted(r.doc_id for r in offence.cases(offence.scores(docs, said, m)).collect()) == [1, 6]
+    assert offence.scores(docs.limit(0), said, m).count() == 0 and offence.distinct_sentences(docs.limit(0)).count() == 0
+    assert {r.score for r in offence.scores(docs, said, None).collect()} == {None}
+    assert offence.fit(labels().head(0)) is None
+    assert offence.exemplars(offence.distinct_sentences(docs.limit(0)), labels()) == offence.Exemplars()
+
+
+def corpus(spark, copies=1):
+    """An insult of which the labels know nothing, said to someone or in disguise a third of the time; a harmless sentence
+    that is as frequent; one that is in disguise only in the copies of one text."""
+    names = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    docs = []
+    for i in range(120):
+        first = ("@123: " if i % 6 == 0 else "") + ("Y.o.d.e.l.l.i.n.g" if i % 6 == 1 else "Yodelling") + f" turnips like {names[i % 5]} rot brains."
+        docs.append((i, f"{first} Text {names[i % 6]} {'x' * (i % 40 + 1)}."))
+        docs.append((1_000 + i, f"Greetings to {names[i % 5]} and all. Text {names[i % 6]} {'y' * (i % 40 + 1)}."))
+    docs += [(5_000 + i, "@123: Greetings to omega and all.") for i in range(copies)]
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def test_exemplars_by_counts_over_all_texts(spark):
+    got = offence.exemplars(offence.distinct_sentences(corpus(spark)), labels())
+    assert any("yodelling turnips" in s for s in got.offending) and not any("greetings" in s for s in got.offending)
+    assert any("greetings" in s for s in got.harmless) and not any("yodelling" in s for s in got.harmless)
+    again = offence.exemplars(offence.distinct_sentences(corpus(spark, 80).repartition(7)), labels())
+    assert again == got  # copies of a text are one text
+
+
+def test_cases_hardly_depend_on_the_draw(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    said = offence.distinct_sentences(docs).cache()
+    own = offence.exemplars(said, labels())
+    counts = []
+    for k in range(5):
+        rows = labels().sample(frac=0.9, random_state=k).sort_values("example_id")
+        m = offence.fit(rows, own)
+        assert (m.score(["no", "in", "moin", "hola a todos"]) < offence.THRESHOLD).all()
+        counts.append(offence.cases(offence.scores(docs, said, m)).count())
+    said.unpersist()
+    assert max(counts) - min(counts) <= max(4, 0.25 * np.median(counts)), counts
 
 
 def test_hashes_of_many_subsequences_stay_apart():
@@ -127,7 +149,7 @@ def test_hashes_of_many_subsequences_stay_apart():
 
         out = set()
         for t in (f" {s} " for s in strings):
-            for steps in combinations(range(1, 6), 3):
+            for steps in combinations(range(1, 4 + Kernel().gap), 3):
                 out.update((t[i], *(t[i + j] for j in steps)) for i in range(len(t) - steps[-1]))
         return out
 
