@@ -64,7 +64,7 @@ def test_save_results(spark, tmp_path):
 
 
 def test_preparation(spark):
-    rows = [("chr1", 10, s, 0.1 * i, c) for i, (s, c) in enumerate([("a", 5), ("b", 1), ("c", 9)])] + [("chr1", 20, "a", 0.5, 1), ("2", 5, "a", 0.4, 9), ("2", 5, "b", None, 9)]
+    rows = [("chr1", 10, s, 0.1 * i, c) for i, (s, c) in enumerate([("a", 5.0), ("b", 1.0), ("c", 9.0)])] + [("chr1", 20, "a", 0.5, 1.0), ("2", 5, "a", 0.4, 9.0), ("2", 5, "b", None, 9.0)]
     df = spark.createDataFrame(rows, "chrom string, pos long, sample_id string, meth double, cov double")
     samples = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "sample_id string, sample_idx int")
     manifest, y = prep.prepare_sites(df, samples, min_cov=5)
