@@ -37,6 +37,8 @@ WORDS = 3
 OFFENDING, OFFENDING_SHARE = 5.0, 2e-4
 #: most evidence of a harmless phrase, and the least share of the texts that hold it; these bound their number too
 HARMLESS, HARMLESS_SHARE = -4.0, 3e-3
+#: least share of the texts that hold a harmless sentence as it is
+SENTENCE_SHARE = 5e-4
 #: sentences drawn, by hash, for a harmless phrase
 DRAWN = 4
 
@@ -154,6 +156,10 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
     chosen = chosen.where((F.col("offends") & (F.col("many") > 1) & (F.col("m") > 0)) | (~F.col("offends") & (F.col("many") == 0)))
     drawn = [F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("k"), "h"))["h"] for k in range(DRAWN)]
     named = chosen.groupBy("p", "offends").agg(F.array(*drawn).alias("h")).select("offends", F.explode(F.when(F.col("offends"), F.slice("h", 1, 1)).otherwise(F.col("h"))).alias("h")).distinct()
+    # sentences that many texts hold as they are
+    whole = said.select(F.explode(F.arrays_zip("s", "m")).alias("x")).select(F.xxhash64("x.s").alias("h"), F.col("x.m").alias("m")).groupBy("h", "m").agg(F.count("*").alias("n"))
+    whole = whole.groupBy("h").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e")).where((F.col("e") < HARMLESS) & (F.col("n") >= SENTENCE_SHARE * n_texts))
+    named = named.unionByName(whole.join(of.where("many > 0").select("h"), "h", "left_anti").select(F.lit(False).alias("offends"), "h"))
     out = rows.select("h", "s").join(F.broadcast(named), "h").select("s", "offends").distinct().sort("s").collect()
     return Exemplars([r["s"] for r in out if r["offends"]], [r["s"] for r in out if not r["offends"]])
 
