@@ -3,7 +3,7 @@
 A string-kernel machine (`string_svm`) is trained on the labelled sentences and on sentences of the corpus about which
 counts over all documents leave no doubt. Offenders address people and disguise their spelling far more often than
 others do; how often, the labels and the corpus say. Each occurrence of a phrase of three words is such evidence for or
-against it (a log likelihood ratio; copies of a text are one), and phrases with much of it give one sentence each:
+against it (a log likelihood ratio; copies of a text count once for each author, or once), and phrases with much of it give one sentence each:
 offending ones said so in several texts, and harmless ones that are widespread and are never said so. Labels that models
 trained on the other folds contradict clearly are left out. A document's score is that of its worst sentence, over its
 whole text; it is a case above 0, the machine's own boundary.
@@ -112,15 +112,18 @@ def manner_rates(labels: pd.DataFrame) -> tuple[dict[int, float], dict[int, floa
 
 
 def distinct_sentences(documents: DataFrame) -> DataFrame:
-    """(t, said: array of (s, m)): the sentences and their manners of each distinct text, t being its hash."""
-    texts = documents.where("text IS NOT NULL").select(F.xxhash64("text").alias("t"), "text").groupBy("t").agg(F.any_value("text").alias("text"))
+    """(t, authors, s, m): the sentences and their manners of each distinct text, t being its hash, and how many authors wrote
+    it; rows without an author are one's together, and so are all if documents have no column author_id."""
+    author = F.coalesce(F.col("author_id").cast("string"), F.lit("")) if "author_id" in documents.columns else F.lit("")
+    texts = documents.where("text IS NOT NULL").select(F.xxhash64("text").alias("t"), "text", author.alias("author"))
+    texts = texts.groupBy("t").agg(F.any_value("text").alias("text"), F.count_distinct("author").alias("authors"))
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             said = [sentences_said(text) for text in pdf["text"]]
-            yield pd.DataFrame({"t": pdf["t"], "s": [[s for s, _ in x] for x in said], "m": [[m for _, m in x] for x in said]})
+            yield pd.DataFrame({"t": pdf["t"], "authors": pdf["authors"], "s": [[s for s, _ in x] for x in said], "m": [[m for _, m in x] for x in said]})
 
-    return texts.mapInPandas(divide, "t long, s array<string>, m array<int>")
+    return texts.mapInPandas(divide, "t long, authors long, s array<string>, m array<int>")
 
 
 def _phrases(s: Column) -> Column:
@@ -130,7 +133,8 @@ def _phrases(s: Column) -> Column:
 
 def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
     """Sentences that counts over all texts show to be offending or harmless. said: of distinct_sentences()."""
-    rows = said.select(F.explode(F.arrays_zip("s", "m")).alias("x")).select("x.s", "x.m")
+    # a sentence said in no manner counts for each author of the text, one said in a manner once: copies prove nothing
+    rows = said.select("authors", F.explode(F.arrays_zip("s", "m")).alias("x")).select("x.s", "x.m", F.when(F.col("x.m") > 0, 1).otherwise(F.col("authors")).alias("k"))
     with_manner = [F.sum(F.when(F.col("m").bitwiseAND(b) != 0, 1).otherwise(0)).alias(f"b{b}") for b in MANNERS]
     total = rows.agg(F.count("*").alias("n"), *with_manner).first()
     if not total["n"]:
@@ -142,25 +146,25 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
         q, q0 = offending[b], (total[f"b{b}"] + 0.5) / (total["n"] + 1)
         if q > harmless[b] and q > q0:
             odds = odds + F.when(F.col("m").bitwiseAND(b) != 0, float(np.log(q / q0))).otherwise(float(np.log((1 - q) / (1 - q0))))
-    n_texts = said.count()
-    counted = rows.select(F.explode(_phrases(F.col("s"))).alias("p"), "m").groupBy("p", "m").agg(F.count("*").alias("n"))
+    n_texts = said.agg(F.sum("authors")).first()[0]
+    counted = rows.select(F.explode(_phrases(F.col("s"))).alias("p"), "m", "k").groupBy("p", "m").agg(F.sum("k").alias("n"))
     counted = counted.groupBy("p").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e"), F.sum(F.when(F.col("m") > 0, F.col("n"))).alias("n_said"))
     strong = storage.materialise(counted.where(((F.col("e") > OFFENDING) & (F.col("n_said") > 1)) | ((F.col("e") < HARMLESS) & (F.col("n") >= HARMLESS_SHARE * n_texts))), "phrases")
     least = OFFENDING_SHARE * (strong.where("e > 0").agg(F.sum("e")).first()[0] or 0.0)
     strong = strong.where((F.col("e") < 0) | (F.col("e") > least)).select("p", (F.col("e") > 0).alias("offends"))
     # a sentence is named by its hash; its text is joined at the end only
-    rows = rows.groupBy("s").agg(F.max("m").alias("m")).select("s", "m", F.xxhash64("s").alias("h"))
-    held = rows.select("h", "m", F.explode(_phrases(F.col("s"))).alias("p")).join(F.broadcast(strong), "p")
+    strings = rows.groupBy("s").agg(F.max("m").alias("m")).select("s", "m", F.xxhash64("s").alias("h"))
+    held = strings.select("h", "m", F.explode(_phrases(F.col("s"))).alias("p")).join(F.broadcast(strong), "p")
     of = held.groupBy("h").agg(F.max("m").alias("m"), F.count_if("offends").alias("many"), F.collect_list(F.struct("p", "offends")).alias("held"))
     chosen = of.select("h", "m", "many", F.explode("held").alias("x")).select("h", "m", "many", "x.p", "x.offends")
     chosen = chosen.where((F.col("offends") & (F.col("many") > 1) & (F.col("m") > 0)) | (~F.col("offends") & (F.col("many") == 0)))
     drawn = [F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("k"), "h"))["h"] for k in range(DRAWN)]
     named = chosen.groupBy("p", "offends").agg(F.array(*drawn).alias("h")).select("offends", F.explode(F.when(F.col("offends"), F.slice("h", 1, 1)).otherwise(F.col("h"))).alias("h")).distinct()
     # sentences that many texts hold as they are
-    whole = said.select(F.explode(F.arrays_zip("s", "m")).alias("x")).select(F.xxhash64("x.s").alias("h"), F.col("x.m").alias("m")).groupBy("h", "m").agg(F.count("*").alias("n"))
+    whole = rows.select(F.xxhash64("s").alias("h"), "m", "k").groupBy("h", "m").agg(F.sum("k").alias("n"))
     whole = whole.groupBy("h").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e")).where((F.col("e") < HARMLESS) & (F.col("n") >= SENTENCE_SHARE * n_texts))
     named = named.unionByName(whole.join(of.where("many > 0").select("h"), "h", "left_anti").select(F.lit(False).alias("offends"), "h"))
-    out = rows.select("h", "s").join(F.broadcast(named), "h").select("s", "offends").distinct().sort("s").collect()
+    out = strings.select("h", "s").join(F.broadcast(named), "h").select("s", "offends").distinct().sort("s").collect()
     return Exemplars([r["s"] for r in out if r["offends"]], [r["s"] for r in out if not r["offends"]])
 
 

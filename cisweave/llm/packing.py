@@ -2,8 +2,10 @@
 
 Items are spread over blocks by hash; a block is packed best-fit decreasing and then improved by local search: between
 underfull containers items are moved, swapped one for one or two for one, whenever that raises the sum of squared fills,
-until the emptiest containers are empty. Items of containers that stay underfull go on to the next level, where the
-leftovers of FAN_IN blocks are packed together, up to one group; so the space lost to blocks does not add up. Only an
+until the emptiest containers are empty. Items of containers that stay underfull go on to the next level, where they are
+spread over as many blocks as they fill; so the space lost to blocks does not add up. Levels end when one block is left,
+or when a level closed less than GAINED of its items: what is left then, such as items above half the capacity, does not
+combine any better, and its containers stay as they are. No task ever holds more than about BLOCK_ITEMS items. Only an
 item above the capacity is divided, into full pieces and a rest.
 
 Defined results: null sizes are left out; items of size 0 take no space and join the last container of their block; equal
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from cisweave import storage
 
-BLOCK_ITEMS, FAN_IN = 8_192, 16
+BLOCK_ITEMS = 8_192
+#: least share of a level's items in closed containers for another level to follow
+GAINED = 0.1
 #: capacities at a time; they are a setting, not data
 MOST_PACKS = 1_000
 #: share of the capacity from which a container is final before the last level
@@ -208,17 +212,20 @@ def pack_items(items: DataFrame, capacities: DataFrame) -> DataFrame:
     if not packs:
         return items.sparkSession.createDataFrame([], "pack_id int, container string, item long, piece int, size int")
     todo = storage.materialise(pieces(items, packs), "pieces")
-    most = todo.groupBy("pack_id").count().agg(F.max("count")).first()[0] or 1
-    blocks = math.ceil(most / BLOCK_ITEMS)
-    todo = todo.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)))
     done, level = None, 0
     while True:
+        held = {r[0]: r[1] for r in todo.groupBy("pack_id").count().collect()}  # at most MOST_PACKS
+        blocks = math.ceil(max(held.values(), default=1) / BLOCK_ITEMS)
         last = blocks == 1
-        packed = storage.materialise(todo.groupBy("pack_id", "block").applyInPandas(_pack_level(level, last), PACKED), f"packed{level}")
+        spread = todo.withColumn("block", F.pmod(F.xxhash64("item", "piece", F.lit(level)), F.lit(blocks)))
+        packed = storage.materialise(spread.groupBy("pack_id", "block").applyInPandas(_pack_level(level, last), PACKED), f"packed{level}")
+        left = 0 if last else packed.where("is_open").count()
+        if left > (1 - GAINED) * sum(held.values()):
+            left, packed = 0, packed.withColumn("is_open", F.lit(False))
         closed = packed.where("NOT is_open")
         done = closed if done is None else done.unionByName(closed)
-        if last:
+        if not left:
             break
-        blocks, level = math.ceil(blocks / FAN_IN), level + 1
-        todo = packed.where("is_open").drop("container", "level", "is_open").withColumn("block", F.pmod("block", F.lit(blocks)))
+        level += 1
+        todo = packed.where("is_open").drop("container", "level", "is_open", "block")
     return done.select("pack_id", F.concat_ws("-", "level", "block", "container").alias("container"), "item", "piece", "size")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -58,7 +59,6 @@ def rows(spark, items, caps, **kw):
 
 def test_blocks_and_divided_items(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_ITEMS", 40)
-    monkeypatch.setattr(packing, "FAN_IN", 3)
     rng = random.Random(4)
     items = [(i, rng.choice([0, 5, 30, 77, 260, rng.randrange(1, 400)]), "x") for i in range(500)] + [(900, None, "x"), (901, 100_000, "x"), (1, 3, "x")]
     got = rows(spark, items, [(1, 256, 0), (2, 1024, 0)])
@@ -78,6 +78,14 @@ def test_blocks_and_divided_items(spark, monkeypatch):
         assert len(fill) <= -(-sum(want.values()) // cap) * 1.02 + 1
 
 
+def test_items_that_do_not_combine_stay_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 50)
+    got = rows(spark, [(i, 520 + i % 480, "x") for i in range(3_000)], [(1, 1024, 0)])
+    assert len(got) == len({r.container for r in got}) == 3_000
+    blocks = Counter(r.container.rsplit("-", 1)[0] for r in got)
+    assert len(blocks) >= 50 and max(blocks.values()) < 110
+
+
 def test_empty_and_errors(spark):
     assert rows(spark, [], [(1, 10, 0)]) == [] and rows(spark, [(1, 5, "")], []) == []
     with pytest.raises(ValueError):
