@@ -14,14 +14,16 @@ used; with fewer than one label of either kind every score is null; repeated row
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from cisweave import storage
 from cisweave.llm.spelling import MANNERS, sentences, sentences_said
@@ -126,15 +128,38 @@ def distinct_sentences(documents: DataFrame) -> DataFrame:
     return texts.mapInPandas(divide, "t long, authors long, s array<string>, m array<int>")
 
 
-def _phrases(s: Column) -> Column:
-    w = F.split(F.concat(F.lit("^ "), s, F.lit(" $")), " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(WORDS)])))
+def _keys(s: str) -> list[int]:
+    """Hashes of a sentence as a whole, then of its distinct phrases, its ends being words."""
+    w = f"^ {s} $".split(" ")
+    return [xxh64_intdigest("=" + s) >> 1, *dict.fromkeys([xxh64_intdigest(" ".join(w[i : i + WORDS])) >> 1 for i in range(len(w) - WORDS + 1)])]
+
+
+def _each(pdf: pd.DataFrame) -> Iterator[tuple[str, int, int]]:
+    """(sentence, manner, how often it counts): one said in no manner counts for each author of the text, one said in a
+    manner once, as copies prove nothing."""
+    for authors, own, manners in zip(pdf["authors"], pdf["s"], pdf["m"]):
+        for s, m in zip(own, manners):
+            yield s, int(m), 1 if m else int(authors)
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        strings: Counter[tuple[str, int]] = Counter()
+        for s, m, k in _each(pdf):
+            strings[s, m] += k
+        n: Counter[tuple[int, int, bool]] = Counter()
+        for (s, m), k in strings.items():
+            whole = True
+            for p in _keys(s):
+                n[p, m, whole] += k
+                whole = False
+        out = pd.DataFrame(list(n), columns=["p", "m", "whole"])
+        yield out.assign(n=list(n.values())).astype({"p": "int64", "m": "int32", "whole": "bool", "n": "int64"})
 
 
 def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
     """Sentences that counts over all texts show to be offending or harmless. said: of distinct_sentences()."""
-    # a sentence said in no manner counts for each author of the text, one said in a manner once: copies prove nothing
-    rows = said.select("authors", F.explode(F.arrays_zip("s", "m")).alias("x")).select("x.s", "x.m", F.when(F.col("x.m") > 0, 1).otherwise(F.col("authors")).alias("k"))
+    rows = said.select(F.explode("m").alias("m"))
     with_manner = [F.sum(F.when(F.col("m").bitwiseAND(b) != 0, 1).otherwise(0)).alias(f"b{b}") for b in MANNERS]
     total = rows.agg(F.count("*").alias("n"), *with_manner).first()
     if not total["n"]:
@@ -147,25 +172,31 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
         if q > harmless[b] and q > q0:
             odds = odds + F.when(F.col("m").bitwiseAND(b) != 0, float(np.log(q / q0))).otherwise(float(np.log((1 - q) / (1 - q0))))
     n_texts = said.agg(F.sum("authors")).first()[0]
-    counted = rows.select(F.explode(_phrases(F.col("s"))).alias("p"), "m", "k").groupBy("p", "m").agg(F.sum("k").alias("n"))
-    counted = counted.groupBy("p").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e"), F.sum(F.when(F.col("m") > 0, F.col("n"))).alias("n_said"))
-    strong = storage.materialise(counted.where(((F.col("e") > OFFENDING) & (F.col("n_said") > 1)) | ((F.col("e") < HARMLESS) & (F.col("n") >= HARMLESS_SHARE * n_texts))), "phrases")
+    counted = said.mapInPandas(_count, "p long, m int, whole boolean, n long").groupBy("p", "whole").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e"), F.sum(F.when(F.col("m") > 0, F.col("n"))).alias("n_said"))
+    offends = ~F.col("whole") & (F.col("e") > OFFENDING) & (F.col("n_said") > 1)
+    share = F.when(F.col("whole"), SENTENCE_SHARE).otherwise(HARMLESS_SHARE)
+    strong = storage.materialise(counted.where(offends | ((F.col("e") < HARMLESS) & (F.col("n") >= share * n_texts))).select("p", "e"), "phrases")
     least = OFFENDING_SHARE * (strong.where("e > 0").agg(F.sum("e")).first()[0] or 0.0)
-    strong = strong.where((F.col("e") < 0) | (F.col("e") > least)).select("p", (F.col("e") > 0).alias("offends"))
-    # a sentence is named by its hash; its text is joined at the end only
-    strings = rows.groupBy("s").agg(F.max("m").alias("m")).select("s", "m", F.xxhash64("s").alias("h"))
-    held = strings.select("h", "m", F.explode(_phrases(F.col("s"))).alias("p")).join(F.broadcast(strong), "p")
-    of = held.groupBy("h").agg(F.max("m").alias("m"), F.count_if("offends").alias("many"), F.collect_list(F.struct("p", "offends")).alias("held"))
-    chosen = of.select("h", "m", "many", F.explode("held").alias("x")).select("h", "m", "many", "x.p", "x.offends")
-    chosen = chosen.where((F.col("offends") & (F.col("many") > 1) & (F.col("m") > 0)) | (~F.col("offends") & (F.col("many") == 0)))
-    drawn = [F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("k"), "h"))["h"] for k in range(DRAWN)]
-    named = chosen.groupBy("p", "offends").agg(F.array(*drawn).alias("h")).select("offends", F.explode(F.when(F.col("offends"), F.slice("h", 1, 1)).otherwise(F.col("h"))).alias("h")).distinct()
-    # sentences that many texts hold as they are
-    whole = rows.select(F.xxhash64("s").alias("h"), "m", "k").groupBy("h", "m").agg(F.sum("k").alias("n"))
-    whole = whole.groupBy("h").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e")).where((F.col("e") < HARMLESS) & (F.col("n") >= SENTENCE_SHARE * n_texts))
-    named = named.unionByName(whole.join(of.where("many > 0").select("h"), "h", "left_anti").select(F.lit(False).alias("offends"), "h"))
-    out = strings.select("h", "s").join(F.broadcast(named), "h").select("s", "offends").distinct().sort("s").collect()
-    return Exemplars([r["s"] for r in out if r["offends"]], [r["s"] for r in out if not r["offends"]])
+    # the shares bound this table
+    kinds = {r["p"]: r["e"] > 0 for r in strong.where((F.col("e") < 0) | (F.col("e") > least)).collect()}
+    shared = said.sparkSession.sparkContext.broadcast(kinds)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best: dict[tuple[int, int], tuple[int, str]] = {}
+            for s, m in {(s, m) for s, m, _ in _each(pdf)}:
+                held = [p for p in _keys(s) if p in shared.value]
+                many = sum(shared.value[p] for p in held)
+                if many > 1 and m or held and not many:
+                    for p in held:
+                        if shared.value[p] == bool(many):
+                            for k in range(1 if many else DRAWN):
+                                lot = (xxh64_intdigest(s, seed=k) >> 1, s)
+                                best[p, k] = min(best.get((p, k), lot), lot)
+            yield pd.DataFrame([(p, k, lot, s) for (p, k), (lot, s) in best.items()], columns=["p", "k", "lot", "s"]).astype({"p": "int64", "k": "int32", "lot": "int64"})
+
+    drawn = said.mapInPandas(draw, "p long, k int, lot long, s string").groupBy("p", "k").agg(F.min(F.struct("lot", "s")).alias("x")).select("p", "x.s").collect()
+    return Exemplars(*(sorted({r["s"] for r in drawn if kinds[r["p"]] is kind}) for kind in (True, False)))
 
 
 def machine_of(said: DataFrame, labels: DataFrame) -> Machine | None:
