@@ -7,6 +7,8 @@ import logging
 
 from pyspark.sql import SparkSession
 
+from cisweave import storage
+from cisweave.functions.boosting import Settings
 from cisweave.functions.penalties import enet_numbers
 from cisweave.plans import pipeline, prep, tuning
 from cisweave.sources import plink, readers
@@ -26,6 +28,16 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--skip-tuning", action="store_true")
     run.add_argument("--checkpoint-interval", type=int, default=10_000)
     run.add_argument("--no-resume", action="store_true")
+    run.add_argument("--n-iter", type=int, default=100)
+    run.add_argument("--n-trials", type=int, default=20)
+    run.add_argument("--batch-size", type=int, default=8192)
+    run.add_argument("--no-early-stop", action="store_true")
+    run.add_argument("--patience", type=int, default=5)
+    run.add_argument("--min-delta", type=float, default=1e-4)
+    run.add_argument("--warmup", type=int, default=5)
+    run.add_argument("--working-set", type=int, help="columns of the working set")
+    run.add_argument("--refresh", type=int, help="rounds between choices of the working set")
+    run.add_argument("--by-hand", action="store_true")
     prepare = sub.add_parser("prep")
     prepare.add_argument("--long", required=True, help="parquet of chrom, pos, sample_id, meth, cov")
     prepare.add_argument("--samples", required=True, help="parquet of sample_id, sample_idx")
@@ -51,7 +63,11 @@ def main(argv: list[str] | None = None) -> None:
         chromosomes = readers.chromosomes(a.chromosomes) if a.chromosomes else None
         prep.write_prepared(*prep.prepare_sites(spark.read.parquet(a.long), samples, chromosomes, None if a.no_smooth else a.smooth_h, a.min_cov), a.output)
         return
-    genotypes, _, samples = plink.load_genotypes(spark, a.geno_path)
+    settings = Settings(
+        n_iter=a.n_iter, n_trials=a.n_trials, batch_size=a.batch_size, early_stop=not a.no_early_stop, patience=a.patience, min_delta=a.min_delta, warmup=a.warmup, working_set=a.working_set,
+        refresh=a.refresh,
+    )
+    genotypes, variants, samples = plink.load_genotypes(spark, a.geno_path)
     chromosomes, n = readers.chromosomes(a.chromosomes), samples.count()
     fixed = None
     if not a.skip_tuning:
@@ -63,19 +79,20 @@ def main(argv: list[str] | None = None) -> None:
             long = one if long is None else long.unionByName(one)
         odd, even = tuning.odd_even(chromosomes)
         windows = pipeline.windows_of_sites(sites)
-        best = tuning.tune_across(windows.where(windows["chrom"].isin(odd)), windows.where(windows["chrom"].isin(even)), genotypes, long, n=n, window_size=a.window_size)
+        best = tuning.tune_across(windows.where(windows["chrom"].isin(odd)), windows.where(windows["chrom"].isin(even)), genotypes, long, n=n, settings=settings, variants=variants, window_size=a.window_size)
 
         def fixed(spec: dict) -> dict:
             if spec["m_raw"] <= 1:
-                return {}
+                return {"fixed_subsample_frac": best["subsample_frac"], "fixed_batch_size": best["batch_size"]}
             alpha, l1 = enet_numbers(spec["m_raw"], n, best["c_lambda"], best["c_ridge"])
-            return {"fixed_alpha": alpha, "fixed_l1_ratio": l1}
+            return {"fixed_alpha": alpha, "fixed_l1_ratio": l1, "fixed_subsample_frac": best["subsample_frac"], "fixed_batch_size": best["batch_size"]}
 
     out = pipeline.run_by_chromosome(
         spark, chromosomes, genotypes, a.cpg_manifest_template, a.pheno_template, a.outdir, a.prefix, window_size=a.window_size, fixed_params=fixed,
-        checkpoint_interval=a.checkpoint_interval, resume=not a.no_resume,
+        checkpoint_interval=a.checkpoint_interval, resume=not a.no_resume, settings=settings, by_hand=a.by_hand,
     )
     pipeline.write_statistics(out, f"{a.outdir}/{a.prefix}.statistics.json")
+    storage.clear(spark)
     spark.stop()
 
 

@@ -39,6 +39,8 @@ class Settings:
     fixed_alpha: float | None = None
     fixed_l1_ratio: float | None = None
     early_stop: bool = True
+    #: name of the score that stops: auto is val_r2 with validation rows, h2 without
+    early_stop_metric: str = "auto"
     #: ridge penalty from training rows only; by default from all rows
     strict_split: bool = False
 
@@ -60,6 +62,7 @@ class Fit:
     variances: np.ndarray
     best: float | None = None
     history: list[float] = field(default_factory=list)
+    metric: str = "h2"
 
 
 def split(n: int, val_frac: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,4 +152,5 @@ def boost(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Fit:
     return Fit(
         betas, ridge_betas, kept, final, h2_diag, h2_ld, h2_val if np.isfinite(h2_val) else final, history, len(history), float(alpha), float(l1), penalty,
         x[tr].var(0) if m else np.zeros(0), None if best == -np.inf else best,
+        metric=("val_r2" if len(va) else "h2") if s.early_stop_metric == "auto" else s.early_stop_metric,
     )

@@ -28,10 +28,12 @@ Fixed = dict | Callable[[dict], dict | None] | None
 
 
 def phenotype_vectors(pheno: DataFrame) -> DataFrame:
-    """(pheno_id, y array<double>) by sample_idx, from long phenotypes; a sample without a row is NaN by its index."""
+    """(pheno_id, y array<double>) by sample_idx, from long phenotypes; a sample without a row is NaN by its index. Of
+    several rows of one sample the mean of the numbers counts."""
+    pheno = pheno.where("sample_idx IS NOT NULL").groupBy("pheno_id", "sample_idx").agg(F.avg(F.when(~F.isnan("y"), F.col("y"))).alias("y"))
     cells = F.map_from_entries(F.collect_list(F.struct("sample_idx", F.coalesce("y", F.lit(float("nan"))).alias("y"))))
     last = F.max("sample_idx")
-    vec = pheno.where("sample_idx IS NOT NULL").groupBy("pheno_id").agg(cells.alias("m"), last.alias("last"))
+    vec = pheno.groupBy("pheno_id").agg(cells.alias("m"), last.alias("last"))
     return vec.select("pheno_id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.element_at("m", i), F.lit(float("nan")))).alias("y"))
 
 
@@ -119,10 +121,11 @@ def fit_one(w: dict, snp: np.ndarray, pos: np.ndarray, x: np.ndarray, settings:
 def fit_windows(
     windows: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, *, window_size: int = WINDOW_RUNNER, use_window: bool = True, settings: Settings = Settings(),
     fixed_params: Fixed = None, regions: DataFrame | None = None, r2_thresh: float = 0.2, var_thresh: float = 1e-8, impute_strategy: str = "most_frequent",
-    impute_first: bool = False, distance: Callable[[float], int] = window_bp, tile_width: int | None = None, windows_per_task: int = 256,
+    impute_first: bool = False, distance: Callable[[float], int] = window_bp, by_hand: bool = False, tile_width: int | None = None, windows_per_task: int = 256,
 ) -> DataFrame:
     """One record (schemas.MODEL) per window. genotypes: one row per variant with its dosages by sample_idx; phenotypes:
-    long (pheno_id, sample_idx, y) or vectors (pheno_id, y array). Windows of `regions` are left out."""
+    long (pheno_id, sample_idx, y) or vectors (pheno_id, y array). Windows of `regions` are left out. by_hand prepares with
+    the default thresholds, whatever is given."""
     width = tile_width or max(1_000, 2 * window_size)
     if regions is not None:
         windows = skip_blacklisted(windows, regions)
@@ -136,6 +139,7 @@ def fit_windows(
     tiles = w.groupBy("tile", "chrom").agg(F.min("lo").alias("start"), F.max("hi").alias("end")).withColumnRenamed("tile", "window_id")
     g = cis_join(tiles, genotypes.select("chrom", "snp_idx", "snp", "pos", "dosages"), 0, False, width)
     prep = {"var_thresh": var_thresh, "impute_strategy": impute_strategy, "r2_thresh": r2_thresh, "distance": distance, "impute_first": impute_first}
+    prep = {} if by_hand else prep
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["pos", "snp_idx"], kind="stable")

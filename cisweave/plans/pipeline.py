@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import logging
-import math
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cisweave import storage
-from cisweave.operators.cis import pending, skip_blacklisted, windows_of_sites
+from cisweave.operators.cis import WINDOW_RUNNER, pending, skip_blacklisted, windows_of_sites
 from cisweave.plans import fit
 from cisweave.sources import readers
 
@@ -19,12 +19,36 @@ DONE = ("ok", "no_snps", "no_phenotype", "blacklisted")
 
 
 def completed(spark: SparkSession, path: str) -> DataFrame | None:
-    """Records that earlier batches under `path` left, one per window; None if there are none."""
+    """Records that earlier batches under `path` left, one per window: one that is done rather than an error, so a window
+    that failed and was fitted again has its new record; None if there are none."""
     fs, p = storage.filesystem(spark, path)
     if not fs.exists(p):
         return None
     parts = [s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch-")]
-    return spark.read.parquet(*parts).dropDuplicates(["window_id"]) if parts else None
+    return _one_each(spark.read.parquet(*parts), "window_id") if parts else None
+
+
+def _one_each(model: DataFrame, key: str) -> DataFrame:
+    """One row per key, one that is done before one that is not."""
+    row = F.max_by(F.struct(*model.columns), F.coalesce(F.col("status").isin(*DONE), F.lit(False)))
+    return model.groupBy(F.col(key).alias("_key")).agg(row.alias("_row")).select("_row.*")
+
+
+def completed_ids(spark: SparkSession, path: str) -> DataFrame | None:
+    """window_id of the windows that are done, in order."""
+    before = completed(spark, path)
+    return None if before is None else before.where(F.col("status").isin(*DONE)).select("window_id").orderBy("window_id")
+
+
+def batches_of(windows: DataFrame, size: int, strip: int) -> DataFrame:
+    """windows with `_batch`: neighbouring strips of positions of a chromosome, together about `size` windows. A batch then
+    needs the variants of its own stretch only, not all of them. Only the small table of strip sizes is summed."""
+    placed = windows.withColumn("_strip", F.floor(F.col("start") / strip)).withColumn("_chrom", F.coalesce(F.col("chrom").cast("string"), F.lit("")))
+    sizes = placed.groupBy("_chrom", "_strip").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_chrom").orderBy("_strip")) - F.col("_n")
+    sizes = sizes.select(F.col("_chrom").alias("_c"), F.col("_strip").alias("_s"), F.floor(before / size).alias("_batch"))
+    on = (F.col("_chrom") == F.col("_c")) & F.col("_strip").eqNullSafe(F.col("_s"))
+    return placed.join(sizes, on).drop("_strip", "_c", "_s")
 
 
 def run_windows(
@@ -33,7 +57,7 @@ def run_windows(
 ) -> DataFrame:
     """Summaries (schemas.SUMMARY) of all windows, including skipped ones with their status.
 
-    With an outdir, windows are fitted in batches of about checkpoint_interval; a batch is written to a staging folder and
+    With an outdir, windows are fitted in batches of about checkpoint_interval neighbours on a chromosome; a batch is written to a staging folder and
     renamed, so an interrupted batch leaves nothing behind and a resumed run fits only windows without a record. The
     summary goes to {prefix}.summary.parquet, with save_full betas and trajectories to {prefix}.betas.parquet and
     {prefix}.h2.parquet. resume=False starts anew. An empty set of windows gives an empty table.
@@ -52,19 +76,28 @@ def run_windows(
         storage.remove(spark, at)
     before = completed(spark, at)
     todo = windows if before is None else pending(windows, before.where(F.col("status").isin(*DONE)))
-    todo = storage.materialise(todo, "pending")
-    count = todo.count()
-    batches = math.ceil(count / checkpoint_interval)
-    for b in range(batches):
-        part = todo.where(F.pmod(F.xxhash64("window_id"), F.lit(batches)) == b)
+    reach = options.get("window_size", WINDOW_RUNNER) if options.get("use_window", True) else 0
+    todo = storage.materialise(batches_of(todo, checkpoint_interval, options.get("tile_width") or max(1_000, 2 * reach)), "pending")
+    ends = [F.min("start").alias("lo"), F.max(F.coalesce("end", "start")).alias("hi"), F.count("*").alias("n")]
+    plan = todo.groupBy("_chrom", "_batch").agg(*ends).orderBy("_chrom", "_batch").collect()  # a row for each job to come
+    began, fitted, count = time.monotonic(), 0, sum(r["n"] for r in plan)
+    for b, r in enumerate(plan):
+        part = todo.where((F.col("_chrom") == r["_chrom"]) & F.col("_batch").eqNullSafe(F.lit(r["_batch"]))).drop("_chrom", "_batch")
+        near = genotypes.where(F.col("chrom").cast("string") == r["_chrom"])
+        if r["lo"] is not None and r["hi"] is not None:
+            near = near.where((F.col("pos") >= r["lo"] - reach) & (F.col("pos") <= r["hi"] + reach))
         staged = storage.scratch_path(spark, "batch")
-        fit.fit_windows(part, genotypes, phenotypes, **options).write.parquet(staged)
+        fit.fit_windows(part, near, phenotypes, **options).write.parquet(staged)
         fs, new = storage.filesystem(spark, staged)
         fs.mkdirs(storage.filesystem(spark, at)[1])
-        fs.rename(new, storage.filesystem(spark, f"{at}/batch-{new.getName()}")[1])
-        log.info("batch %d of %d written", b + 1, batches)
+        if not fs.rename(new, storage.filesystem(spark, f"{at}/batch-{new.getName()}")[1]):
+            raise OSError(f"batch {staged} could not be moved to {at}")
+        fitted += r["n"]
+        rate = fitted / max(time.monotonic() - began, 1e-3)
+        log.info("batch %d of %d: %d of %d loci, %.1f a second, %.0f s to go", b + 1, len(plan), fitted, count, rate, (count - fitted) / rate)
         if progress:
-            progress(b + 1, batches)
+            progress(b + 1, len(plan))
+    storage.remove(spark, todo.inputFiles()[0].rsplit("/", 1)[0]) if plan else None
     model = completed(spark, at)
     if model is None:
         model = fit.fit_windows(windows.limit(0), genotypes, phenotypes, **options)
@@ -112,7 +145,7 @@ def run_by_chromosome(
         out = done if out is None else out.unionByName(done)
     if out is None:
         return spark.createDataFrame([], "cpg_id string, chrom string, cpg_pos long, num_snps int, n int, final_r2 double, h2_unscaled double, n_iter int, status string")
-    out.dropDuplicates(["cpg_id"]).write.mode("overwrite").parquet(f"{outdir}/{prefix}.summary_all.parquet")
+    _one_each(out, "cpg_id").write.mode("overwrite").parquet(f"{outdir}/{prefix}.summary_all.parquet")
     return spark.read.parquet(f"{outdir}/{prefix}.summary_all.parquet")
 
 

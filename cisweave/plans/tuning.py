@@ -33,7 +33,7 @@ def quantile_bin(value: str, edges: Sequence[float]):
 
 def select_loci(
     windows: DataFrame, variants: DataFrame | None, frac: float = 0.02, n_min: int = 150, n_max: int = 1000, *, window_size: int = WINDOW_RUNNER, use_window: bool = True,
-    n_bins: int = 3, per_chrom_min: int = 0, seed: int = 13, exclude_failed: DataFrame | None = None,
+    n_bins: int = 3, per_chrom_min: int = 0, seed: int = 13, exclude_failed: DataFrame | None = None, kind: str = "windows",
 ) -> DataFrame:
     """A stratified selection of windows with variants, with their m_raw: per_chrom_min of each chromosome, the rest evenly
     over quantile bins of m_raw, what is short filled up by the largest m_raw. Draws are by seeded hash, so a selection
@@ -43,7 +43,7 @@ def select_loci(
     pool = counted.where("m_raw > 0").withColumn("_p", priority(seed, "window_id"))
     n, unique = pool.agg(F.count("*"), F.count_distinct("m_raw")).first()
     if not n:
-        raise ValueError("No windows with SNPs for tuning selection.")
+        raise ValueError(f"No {kind} with SNPs: nothing to select")
     target, bins = target_size(n, frac, n_min, n_max), min(n_bins, unique)
     edges: list[float] = []
     if bins > 1:
@@ -68,6 +68,11 @@ def select_loci(
     return chosen.select(*counted.columns)
 
 
+def select_sites(sites: DataFrame, variants: DataFrame | None, frac: float = 0.001, n_min: int = 50, n_max: int = 500, **options) -> DataFrame:
+    """select_loci with the defaults for sites."""
+    return select_loci(sites, variants, frac, n_min, n_max, kind="CpGs", **options)
+
+
 def grid_of(spark, grid: dict[str, Sequence]) -> DataFrame:
     """The grid's combinations, numbered in order from 0."""
     rows = [(i, *map(float, c[:3]), int(c[3])) for i, c in enumerate(product(*(grid[k] for k in ("c_lambda", "c_ridge", "subsample_frac", "batch_size"))))]
@@ -105,14 +110,15 @@ def global_tune(loci: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, gr
     return best
 
 
-def tune_across(train: DataFrame, val: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, grid: dict | None = None, n: int | None = None, frac: float = 0.05, n_min: int = 50, n_max: int = 200, settings: Settings = Settings(), **options) -> dict:
-    """Like global_tune, scored on training (seed 13) and validation loci (seed 42); the validation score decides."""
+def tune_across(train: DataFrame, val: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, grid: dict | None = None, n: int | None = None, frac: float = 0.05, n_min: int = 50, n_max: int = 200, settings: Settings = Settings(), *, variants: DataFrame | None = None, **options) -> dict:
+    """Like global_tune, scored on training (seed 13) and validation loci (seed 42); the validation score decides. With
+    `variants` given, counting needs no dosages."""
     size = n if n is not None else infer_n(genotypes=genotypes)
     combos = grid_of(train.sparkSession, GRID_SITES if grid is None else grid)
     window = {k: options[k] for k in ("window_size", "use_window") if k in options}
     scored = None
     for name, loci, seed in (("train_score", train, 13), ("val_score", val, 42)):
-        chosen = select_loci(loci, genotypes, frac, n_min, n_max, seed=seed, **window)
+        chosen = select_loci(loci, genotypes if variants is None else variants, frac, n_min, n_max, seed=seed, **window)
         s = score_combos(chosen, combos, genotypes, phenotypes, size, settings, **options).withColumnRenamed("score", name)
         scored = s if scored is None else scored.join(s.select("combo", name), "combo")
     best = best_combo(scored, "val_score")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from cisweave import schemas
 
@@ -48,9 +48,23 @@ class Reader(DataSourceReader):
         self.prefix = options["path"]
         self.rows = int(options.get("variantsPerTask", 4096))
         self.allele = options.get("countAllele", "a1")
-        self.chrom = options.get("chrom")
+        self.chroms = None if options.get("chrom") is None else {options["chrom"]}
         self.lo, self.hi = int(options.get("start", -(1 << 62))), int(options.get("end", 1 << 62))
 
+    def pushFilters(self, filters):
+        """Chromosomes and ranges of positions are left to the plan of the partitions, other filters to Spark."""
+        for f in filters:
+            if f.attribute == ("chrom",) and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.chroms = own if self.chroms is None else self.chroms & own
+            elif f.attribute == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.lo = max(self.lo, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.hi = min(self.hi, f.value - isinstance(f, LessThan))
+            else:
+                yield f
+
     def _variants(self):
         with open(f"{self.prefix}.bim") as f:
             for i, line in enumerate(x for x in f if x.strip()):
@@ -60,7 +74,7 @@ class Reader(DataSourceReader):
     def partitions(self):
         out, first, names = [], None, []
         for i, chrom, snp, pos in self._variants():
-            inside = (self.chrom is None or chrom == self.chrom) and self.lo <= pos <= self.hi
+            inside = (self.chroms is None or chrom in self.chroms) and self.lo <= pos <= self.hi
             if names and (not inside or len(names) >= self.rows):
                 out.append(Range(first, names))
                 names = []
@@ -102,7 +116,8 @@ class Plink(DataSource):
 
 def read_plink(spark: SparkSession, prefix: str, **options) -> DataFrame:
     """Genotypes (schemas.GENOTYPES) of prefix.bed/.bim/.fam. Options: variantsPerTask, countAllele (a1 or a2), chrom,
-    start, end. The prefix is a path that every executor can open."""
+    start, end. The prefix is a path that every executor can open. Filters by chrom and pos reach the scan."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Plink)
     return spark.read.format("plink").options(**{k: str(v) for k, v in options.items()}).load(prefix)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,36 @@ def wide_to_long(df: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
     return cast.unpivot("sample_idx", [f"`{v}`" for v in values], "pheno_id", "y").select(F.regexp_replace("pheno_id", "`", "").alias("pheno_id"), "sample_idx", "y")
 
 
+def genotypes_of_arrays(spark: SparkSession, genotypes, variants) -> DataFrame:
+    """Genotypes (schemas.GENOTYPES) of a NumPy matrix, samples x variants, and a pandas table of its variants (chrom, snp,
+    pos) in the order of the columns. NaN is a missing call."""
+    table = pa.table({
+        "snp_idx": pa.array(range(len(variants)), pa.int64()), "chrom": pa.array(variants["chrom"].astype(str)), "snp": pa.array(variants["snp"].astype(str)),
+        "pos": pa.array(variants["pos"], pa.int64()), "dosages": pa.array(list(np.asarray(genotypes, np.float32).T), pa.list_(pa.float32())),
+    })
+    return spark.createDataFrame(table)
+
+
+def phenotypes_of_arrays(spark: SparkSession, values, name: str = "y") -> DataFrame:
+    """Long phenotypes (pheno_id, sample_idx, y) of a pandas table with a numeric column each, or of one NumPy vector."""
+    wide = values.select_dtypes("number") if isinstance(values, pd.DataFrame) else pd.DataFrame({name: np.asarray(values, float)})
+    n, columns = len(wide), [str(c) for c in wide.columns]
+    table = pa.table({
+        "pheno_id": pa.array([c for c in columns for _ in range(n)], pa.string()), "sample_idx": pa.array(list(range(n)) * len(columns), pa.int32()),
+        "y": pa.array(wide.to_numpy(float).T.ravel(), pa.float64()),
+    })
+    return spark.createDataFrame(table)
+
+
+def union_variants(tables: Sequence[DataFrame]) -> DataFrame:
+    """Variants of several files, each (chrom, snp, pos) once."""
+    return reduce(DataFrame.unionByName, [t.select("chrom", "snp", "pos") for t in tables]).dropDuplicates()
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    return df.limit(n)
+
+
 def by_suffix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else tsv(spark, path)
 

@@ -167,3 +167,63 @@ def test_arriving_manifests(spark, data, tmp_path):
         done = pipeline.completed(spark, f"{tmp_path}/out/cpg_checkpoint")
         assert done.count() == n
     assert len(list((tmp_path / "out/cpg_checkpoint").glob("batch-*"))) == 2
+
+
+def test_repeated_phenotype_rows(spark, data):
+    geno, pheno, sites, *_ = data
+    again = pheno.unionByName(pheno.limit(70)).unionByName(pheno.limit(5).withColumn("y", F.lit(float("nan"))))
+    a, b = (pipeline.run_sites(sites, geno, p, window_size=20_000, settings=FAST).orderBy("window_id").select("window_id", "n", F.round("final_r2", 9)).collect() for p in (pheno, again))
+    assert a == b
+
+
+def test_failed_window_gets_its_new_record(spark, data, tmp_path):
+    geno, pheno, sites, *_ = data
+
+    def broken(spec):
+        raise ValueError("no")
+
+    out = f"{tmp_path}/out"
+    first = pipeline.run_sites(sites, geno, pheno, out, window_size=20_000, settings=FAST, fixed_params=broken)
+    first = spark.createDataFrame(first.collect(), first.schema)
+    assert first.where("status = 'error'").count() == 3
+    for _ in range(2):
+        again = pipeline.run_sites(sites, geno, pheno, out, window_size=20_000, settings=FAST)
+        assert again.where("status = 'error'").count() == 0 and again.count() == 4
+    assert pipeline._one_each(first.unionByName(again), "window_id").where("status = 'error'").count() == 0
+    ids = [r[0] for r in pipeline.completed_ids(spark, f"{out}/cpg_checkpoint").collect()]
+    assert ids == sorted(ids) and len(ids) == 4
+
+
+def test_batches_are_neighbours(spark):
+    rows = [(f"{c}_{i}", c, 1_000 * i, 1_000 * i) for c in ("1", "2") for i in range(200)] + [("x", None, 5, 5), ("y", "1", None, None)]
+    w = spark.createDataFrame(rows, "window_id string, chrom string, start long, end long")
+    got = pipeline.batches_of(w, 50, 10_000)
+    assert got.count() == len(rows)
+    ends = got.where("start IS NOT NULL").groupBy("_chrom", "_batch").agg(F.min("start").alias("lo"), F.max("start").alias("hi"), F.count("*").alias("n")).orderBy("_chrom", "lo").collect()
+    assert max(r.n for r in ends) <= 60 and len([r for r in ends if r["_chrom"] == "1"]) >= 4
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]) if a["_chrom"] == b["_chrom"])
+    assert sum(r.hi - r.lo for r in ends) <= 2 * 199_000  # together about one pass over the positions
+
+
+def test_arrays_as_inputs(spark):
+    import pandas as pd
+
+    from cisweave.sources import readers
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (40, 6)).astype(float)
+    variants = pd.DataFrame({"chrom": 1, "snp": [f"rs{i}" for i in range(6)], "pos": range(100, 700, 100)})
+    g = readers.genotypes_of_arrays(spark, x, variants)
+    y = readers.phenotypes_of_arrays(spark, pd.DataFrame({"1_300": x[:, 2] + 0.1 * rng.normal(size=40), "name": "a"}))
+    assert y.select("pheno_id").distinct().count() == 1 and y.count() == 40
+    assert pipeline.run_single(spark, g, y, 1, 300, pheno_id="1_300", window_size=1_000, settings=FAST, by_hand=True)["final_r2"] > 0.5
+    assert readers.phenotypes_of_arrays(spark, np.ones(3)).count() == 3
+    v = g.select("chrom", "snp", "pos")
+    assert readers.union_variants([v, v]).count() == 6 and readers.preview(v).count() == 5
+
+
+def test_selection_of_sites(spark):
+    rows = spark.range(2_000).selectExpr("concat('1_', id) AS window_id", "'1' AS chrom", "id AS start", "id AS `end`", "CAST(id % 7 AS int) AS m_raw")
+    assert tuning.select_sites(rows, None).count() == 50
+    with pytest.raises(ValueError, match="No CpGs with SNPs"):
+        tuning.select_sites(rows.where("m_raw = 0"), None)

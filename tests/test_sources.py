@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
 from cisweave.plans import prep
 from cisweave.sources import plink, readers, results
@@ -28,6 +29,10 @@ def test_plink_round_trip(spark, trio):
     flipped = {r.snp_idx: r.dosages for r in plink.read_plink(spark, prefix, countAllele="a2").collect()}
     assert flipped[2][3] is None and flipped[0] == [2 - v for v in x[0]]
     part = plink.read_plink(spark, prefix, chrom="2", start=107, end=108).collect()
+    where = plink.read_plink(spark, prefix).where("chrom = '2' AND pos > 106 AND pos <= 108")
+    assert sorted(where.collect()) == sorted(part)
+    reader, pushed = plink.Reader({"path": prefix}), [EqualTo(("chrom",), "2"), GreaterThan(("pos",), 106), LessThanOrEqual(("pos",), 108), EqualTo(("snp",), "rs7")]
+    assert list(reader.pushFilters(pushed)) == pushed[3:] and [len(p.names) for p in reader.partitions()] == [2]
     assert sorted(r.snp for r in part) == ["rs7", "rs8"] and np.array_equal([r.dosages for r in sorted(part)], x[7:9])
 
 
