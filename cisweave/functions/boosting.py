@@ -93,6 +93,17 @@ def clip01(v: float) -> float:
     return float(np.clip(v, 0.0, 1.0)) if np.isfinite(v) else float("nan")
 
 
+def h2_of_variances(x: np.ndarray, coef: np.ndarray) -> float:
+    """Heritability as the sum of the variants' own variances, in [0, 1]."""
+    return clip01(float((coef**2 * x.var(0)).sum()))
+
+
+def h2_of_scores(x: np.ndarray, coef: np.ndarray, y: np.ndarray) -> float:
+    """b' S b / var(y), as the variance of the samples' scores, in [0, 1]; 0 without variance."""
+    var_y = float(y.var())
+    return clip01(float((x @ coef).var(ddof=1)) / var_y) if var_y > 0 and len(y) > 1 else 0.0
+
+
 def boost(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Fit:
     """x: samples x variants without missing values; y: one number per sample."""
     x, y = np.asarray(x, float), np.asarray(y, float)
@@ -136,7 +147,6 @@ def boost(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Fit:
                     break
     kept = np.flatnonzero(betas != 0)
     ridge_betas, final, h2_val, penalty = np.zeros(m), 0.0, float("nan"), None
-    var_y = float(y[tr].var())
     h2_diag = h2_ld = 0.0
     if len(kept):
         rows = tr if s.strict_split else np.arange(n)
@@ -146,9 +156,8 @@ def boost(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Fit:
         final = r2(y[tr], x[np.ix_(tr, kept)] @ coef + b0)
         if len(va):
             h2_val = r2(y[va], x[np.ix_(va, kept)] @ coef + b0)
-        h2_diag = clip01(float((coef**2 * x[np.ix_(tr, kept)].var(0)).sum()))
-        c = x[np.ix_(tr, kept)] @ coef
-        h2_ld = clip01(float(c.var(ddof=1)) / var_y) if var_y > 0 and len(tr) > 1 else 0.0
+        h2_diag = h2_of_variances(x[np.ix_(tr, kept)], coef)
+        h2_ld = h2_of_scores(x[np.ix_(tr, kept)], coef, y[tr])
     return Fit(
         betas, ridge_betas, kept, final, h2_diag, h2_ld, h2_val if np.isfinite(h2_val) else final, history, len(history), float(alpha), float(l1), penalty,
         x[tr].var(0) if m else np.zeros(0), None if best == -np.inf else best,

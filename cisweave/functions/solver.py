@@ -98,19 +98,23 @@ def some_rows(n: int, share: float, seed: int) -> np.ndarray:
     return np.sort(np.random.default_rng(seed).permutation(n)[: min(n, take)])
 
 
-def tune_ridge(x: np.ndarray, y: np.ndarray, grid: Sequence[float], cv: int = 3, share: float = 0.7, seed: int = 13) -> float:
-    """The penalty of the grid with the least mean error over folds; the first of equals."""
-    rows = some_rows(len(y), share, seed)
-    x, y = x[rows], y[rows]
-    error = np.zeros(len(grid))
-    for train, test in folds(len(y), cv, seed):
+def ridge_errors(x: np.ndarray, y: np.ndarray, grid: Sequence[float], parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Mean over the (train, test) parts of the mean squared error of each penalty."""
+    errors = np.zeros(len(grid))
+    for train, test in parts:
         xm, ym = x[train].mean(0), y[train].mean()
         u, s, vt = np.linalg.svd(x[train] - xm, full_matrices=False)
         uy, xt = u.T @ (y[train] - ym), (x[test] - xm) @ vt.T
         for i, a in enumerate(grid):
-            p = ym + xt @ (s / (s**2 + a) * uy)
-            error[i] += ((y[test] - p) ** 2).mean()
-    return float(grid[int(np.argmin(error))])
+            errors[i] += ((y[test] - ym - xt @ (s / (s**2 + a) * uy)) ** 2).mean() / len(parts)
+    return errors
+
+
+def tune_ridge(x: np.ndarray, y: np.ndarray, grid: Sequence[float], cv: int = 3, share: float = 0.7, seed: int = 13) -> float:
+    """The penalty of the grid with the least mean error over folds; the first of equals."""
+    rows = some_rows(len(y), share, seed)
+    x, y = x[rows], y[rows]
+    return float(grid[int(np.argmin(ridge_errors(x, y, grid, list(folds(len(y), cv, seed)))))])
 
 
 def cv_error(x: np.ndarray, y: np.ndarray, settings: Sequence[tuple[float, float]], cv: int = 5, share: float = 0.7, seed: int = 13) -> np.ndarray:

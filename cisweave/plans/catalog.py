@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cisweave.functions import ids, penalties
-from cisweave.functions.boosting import Settings, boost
+from cisweave.functions import ids, penalties, solver
+from cisweave.functions.boosting import Settings, boost, h2_of_scores, h2_of_variances
 from cisweave.operators import cis, ld, qc
 from cisweave.plans import fit, pipeline, prep, tuning
 from cisweave.plans import fixtures as fx
@@ -137,9 +137,17 @@ def ld_clump(spark, folder):
 @query(f"""WITH RECURSIVE {CLEAN}, {fx.SQL_PHENO['planted']}, {fx.SQL_SITES}, {CORR}, {PAIRS}, rk AS (SELECT cpg_id AS window_id, snp_idx, row_number() OVER (PARTITION BY cpg_id ORDER BY round(abs_r, 10) DESC, snp_idx) AS rank
  FROM st JOIN r ON r.chrom = st.chrom AND r.pos BETWEEN st.cpg_pos-1600 AND st.cpg_pos+1600), """ + _recursive_clump("rk", "window_id"))
 def preprocess_genotypes(spark, folder):
-    """Variance filter, imputation, |r| and clumping within each site's window."""
-    rows = _stat_rows(spark, folder, "planted")
-    return ld.clump_groups(cis.cis_join(cis.windows_of_sites(fx.sites(spark)), rows, fx.HALF, True), "window_id", 0.2)
+    """Variance filter, imputation, |r| and clumping within each site's window, as a fit prepares it."""
+    rows = cis.cis_join(cis.windows_of_sites(fx.sites(spark)), qc.transpose(_clean_geno(spark, folder)), fx.HALF, True)
+    y = fit.phenotype_vectors(fx.phenotype(spark, folder, "planted")).select("y")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "snp_idx"])
+        x, y = np.stack(pdf["dosages"].to_list()).astype(float).T, np.asarray(pdf["y"].iloc[0], float)
+        _, kept = fit.prepare(x, pdf["pos"].to_numpy(), y[: len(x)])
+        return pd.DataFrame({"window_id": pdf["window_id"].iloc[0], "snp_idx": pdf["snp_idx"].to_numpy()[kept], "clump_rank": range(1, len(kept) + 1)})
+
+    return rows.join(F.broadcast(y.limit(1))).groupBy("window_id").applyInPandas(run, "window_id string, snp_idx long, clump_rank int")
 
 
 # Scores and one-variable fits
@@ -153,20 +161,27 @@ def r2_clipped(spark, folder):
     return q.select("n", rounded("mse").alias("mse"), rounded(penalties.r2_from_sums(F.col("n"), F.col("sse"), F.col("sst"))).alias("r2"))
 
 
-def _moments(spark, folder, name="planted"):
-    j = _clean_geno(spark, folder).join(fx.phenotype(spark, folder, name), "sample_idx")
-    return j.groupBy("snp_idx").agg(F.covar_pop("dosage", "y").alias("cov"), F.var_pop("dosage").alias("var"), F.count("*").alias("n"))
+def _per_variant(spark, folder, f: Callable[[np.ndarray, np.ndarray], tuple], schema: str, rows: DataFrame | None = None):
+    """f of each variant's dosages, one column, and the planted phenotype; schema: of what f returns, after snp_idx."""
+    y = fit.phenotype_vectors(fx.phenotype(spark, folder, "planted")).select("y")
+    rows = (qc.transpose(_clean_geno(spark, folder)) if rows is None else rows).select("snp_idx", "dosages").join(F.broadcast(y.limit(1)))
+    names = ["snp_idx", *[c.split()[0] for c in schema.split(", ")]]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(i, *f(np.asarray(x, float)[:, None], np.asarray(y, float)[: len(x)])) for i, x, y in zip(pdf["snp_idx"], pdf["dosages"], pdf["y"])], columns=names)
+
+    return rows.mapInPandas(run, f"snp_idx long, {schema}")
 
 
 @query(f"WITH {CLEAN}, {fx.SQL_PHENO['planted']} SELECT snp_idx, round(covar_pop(dosage, y) / (var_pop(dosage) + 10.0 / count(*)), 6) + 0.0 AS beta FROM c JOIN ph USING (sample_idx) GROUP BY 1")
 def ridge_univariate(spark, folder):
-    return _moments(spark, folder).select("snp_idx", rounded(F.col("cov") / (F.col("var") + 10.0 / F.col("n"))).alias("beta"))
+    return _per_variant(spark, folder, lambda x, y: solver.ridge(x, y, 10.0)[0], "beta double").select("snp_idx", rounded("beta").alias("beta"))
 
 
 @query(f"WITH {CLEAN}, {fx.SQL_PHENO['planted']} SELECT snp_idx, round(sign(cv) * greatest(abs(cv) - 0.02, 0) / (vr + 0.02), 6) + 0.0 AS beta FROM (SELECT snp_idx, covar_pop(dosage, y) AS cv, var_pop(dosage) AS vr FROM c JOIN ph USING (sample_idx) GROUP BY 1)")
 def enet_univariate(spark, folder):
-    soft = F.signum("cov") * F.greatest(F.abs("cov") - 0.02, F.lit(0.0))
-    return _moments(spark, folder).select("snp_idx", rounded(soft / (F.col("var") + 0.02)).alias("beta"))
+    return _per_variant(spark, folder, lambda x, y: solver.enet(solver.Gram.of(x), y, 0.04, 0.5)[0], "beta double").select("snp_idx", rounded("beta").alias("beta"))
 
 
 def _boost_sql(rounds: int = 3, lam1: float = 0.02, lam2: float = 0.02) -> str:
@@ -200,18 +215,23 @@ def _planted(spark):
     return spark.createDataFrame([(10, 0.5), (11, 0.1), (40, -0.4)], "snp_idx long, beta double")
 
 
+def _planted_matrix(spark, folder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(samples x the three planted variants, their coefficients, the phenotype): a fixed number of columns, as in one fit."""
+    rows = qc.transpose(fx.genotypes_long(spark, folder).join(_planted(spark).select("snp_idx"), "snp_idx")).join(_planted(spark), "snp_idx").orderBy("snp_idx").collect()
+    y = fit.phenotype_vectors(fx.phenotype(spark, folder, "planted")).first()["y"]
+    return np.array([r["dosages"] for r in rows], float).T, np.array([r["beta"] for r in rows]), np.array(y)
+
+
 @query(f"WITH {fx.SQL_GENO}, {PLANTED} SELECT round(greatest(0.0, least(1.0, sum(v))), 6) AS h2_diag FROM (SELECT any_value(beta)*any_value(beta)*var_pop(dosage) AS v FROM g JOIN bt USING (snp_idx) GROUP BY snp_idx)")
 def h2_diag(spark, folder):
-    v = fx.genotypes_long(spark, folder).join(_planted(spark), "snp_idx").groupBy("snp_idx", "beta").agg(F.var_pop("dosage").alias("v"))
-    return v.agg(rounded(penalties.clip01(F.sum(F.col("beta") * F.col("beta") * F.col("v")))).alias("h2_diag"))
+    x, b, _ = _planted_matrix(spark, folder)
+    return spark.createDataFrame([(round(h2_of_variances(x, b), DIGITS),)], "h2_diag double")
 
 
 @query(f"WITH {fx.SQL_GENO}, {PLANTED}, {fx.SQL_PHENO['planted']}, q AS (SELECT a.beta*b.beta*covar_samp(x.dosage, z.dosage) AS v FROM bt a, bt b, g x, g z WHERE x.snp_idx = a.snp_idx AND z.snp_idx = b.snp_idx AND x.sample_idx = z.sample_idx GROUP BY a.snp_idx, b.snp_idx, a.beta, b.beta) SELECT round(greatest(0.0, least(1.0, (SELECT sum(v) FROM q) / (SELECT var_pop(y) FROM ph))), 6) AS h2_ld")
 def h2_ld(spark, folder):
     """b' S b / var(y) as the variance of the samples' scores, which needs no pairs of variants."""
-    score = fx.genotypes_long(spark, folder).join(_planted(spark), "snp_idx").groupBy("sample_idx").agg(F.sum(F.col("dosage") * F.col("beta")).alias("p"))
-    j = score.join(fx.phenotype(spark, folder, "planted"), "sample_idx")
-    return j.agg(rounded(penalties.clip01(F.var_samp("p") / F.var_pop("y"))).alias("h2_ld"))
+    return spark.createDataFrame([(round(h2_of_scores(*_planted_matrix(spark, folder)), DIGITS),)], "h2_ld double")
 
 
 # Penalties and selection
@@ -270,8 +290,8 @@ def grid_cross_join(spark, folder):
 
 @query("WITH q AS (SELECT run_id, median(final_r2) AS score FROM cpg_summary WHERE final_r2 IS NOT NULL AND NOT isnan(final_r2) AND abs(final_r2) < 1e300 GROUP BY 1) SELECT run_id, round(score, 9) AS score FROM q ORDER BY score DESC, run_id LIMIT 1")
 def median_score_argmax(spark, folder):
-    s = table(spark, folder, "cpg_summary").where("final_r2 IS NOT NULL AND NOT isnan(final_r2) AND abs(final_r2) < double('inf')").groupBy("run_id").agg(F.median("final_r2").alias("score"))
-    return s.orderBy(F.desc("score"), "run_id").limit(1).select("run_id", F.round("score", 9).alias("score"))
+    best = tuning.best_combo(tuning.median_scores(table(spark, folder, "cpg_summary"), "run_id"), key="run_id")
+    return spark.createDataFrame([(best["run_id"], round(best["score"], 9))], "run_id int, score double")
 
 
 # Anti-joins and set operations
@@ -309,8 +329,10 @@ def sample_alignment(spark, folder):
 
 @query(f"SELECT 'both' AS what, count(*) AS n FROM (SELECT {ids.sql_sample('iid')} FROM samples INTERSECT SELECT {ids.sql_sample('iid')} FROM phenotypes) UNION ALL SELECT 'unused', count(*) FROM (SELECT {ids.sql_sample('iid')} FROM samples EXCEPT SELECT {ids.sql_sample('iid')} FROM phenotypes)")
 def sample_set_operations(spark, folder):
-    a, b = (table(spark, folder, t).select(ids.sample_key("iid").alias("iid")) for t in ("samples", "phenotypes"))
-    return a.intersect(b).agg(F.lit("both").alias("what"), F.count("*").alias("n")).unionByName(a.subtract(b).agg(F.lit("unused").alias("what"), F.count("*").alias("n")))
+    a, b = (table(spark, folder, t).groupBy(ids.sample_key("iid").alias("iid")).agg(F.min(i).alias("idx")) for t, i in (("samples", "sample_idx"), ("phenotypes", "pheno_row")))
+    sides = prep.align_samples(a.where("iid IS NOT NULL"), b.where("iid IS NOT NULL"))
+    n = sides.agg(F.count_if(F.col("side") == "both").alias("both"), F.count_if(F.col("side") == "only_a").alias("unused"))
+    return n.unpivot([], ["both", "unused"], "what", "n")
 
 
 @query(f"SELECT s, n FROM (SELECT {_S} AS s, count(*) AS n FROM (SELECT cpg_id FROM cpg_summary UNION ALL SELECT cpg_id FROM tuning_selection) GROUP BY 1)")
@@ -322,8 +344,10 @@ def union_dedupe_results(spark, folder):
 
 @query("SELECT chrom % 2 = 1 AS train, count(*) AS n FROM (SELECT CAST(split_part(k, '_', 1) AS INTEGER) AS chrom FROM (SELECT DISTINCT " + _S + " AS k FROM sites) WHERE regexp_matches(k, '^[0-9]+_')) GROUP BY 1")
 def odd_even_split(spark, folder):
-    k = table(spark, folder, "sites").select(ids.site_key("cpg_id").alias("k")).distinct().where(F.col("k").rlike("^[0-9]+_"))
-    return k.select((F.substring_index("k", "_", 1).cast("int") % 2 == 1).alias("train")).groupBy("train").agg(F.count("*").alias("n"))
+    k = table(spark, folder, "sites").select(ids.site_key("cpg_id").alias("k")).distinct().where(F.col("k").rlike("^[0-9]+_")).withColumn("chrom", F.substring_index("k", "_", 1))
+    odd, even = tuning.odd_even([r[0] for r in k.select("chrom").distinct().sort("chrom").collect()])  # chromosomes
+    parts = [k.where(F.col("chrom").isin(own)).select(F.lit(train).alias("train")) for train, own in ((True, odd), (False, even))]
+    return parts[0].unionByName(parts[1]).groupBy("train").agg(F.count("*").alias("n"))
 
 
 # Phenotypes and methylation
@@ -372,8 +396,8 @@ def genotype_transpose(spark, folder):
 
 @query("SELECT file_id, line_no, snp, beta, 'cpg' AS prefix FROM betas WHERE abs(beta) > CAST(0.01 AS DOUBLE)")
 def betas_nonzero_projection(spark, folder):
-    b = table(spark, folder, "betas").where(F.abs("beta") > 0.01)
-    return b.select("file_id", "line_no", "snp", "beta").withColumn("prefix", F.lit("cpg"))
+    one = table(spark, folder, "betas").select(F.struct("file_id", "line_no").alias("window_id"), F.lit("ok").alias("status"), F.array("snp").alias("snp_ids"), F.array("beta").alias("ridge_betas"))
+    return fit.betas(one, 0.01, meta={"prefix": "cpg"}).select("window_id.file_id", "window_id.line_no", "snp", "beta", "prefix")
 
 
 @query("""WITH q AS (SELECT file_id, line_no, iteration, h2, max(h2) OVER (PARTITION BY file_id ORDER BY iteration, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM h2_trajectory)
@@ -419,7 +443,8 @@ def first_windows(spark, folder):
 @query(f"SELECT chrom IN ('1', '2') AS held_out, count(*) AS n FROM (SELECT DISTINCT {ids.sql_site_chrom(_S)} AS chrom, {_S} AS k FROM sites) WHERE chrom IS NOT NULL GROUP BY 1")
 def leave_chromosomes_out_split(spark, folder):
     k = table(spark, folder, "sites").select(ids.site_key("cpg_id").alias("k")).distinct().withColumn("chrom", ids.site_chrom("k")).where("chrom IS NOT NULL")
-    return k.select(F.col("chrom").isin("1", "2").alias("held_out")).groupBy("held_out").agg(F.count("*").alias("n"))
+    train, val = tuning.split_by_chromosome(k, ["1", "2"])
+    return train.select(F.lit(False).alias("held_out")).unionByName(val.select(F.lit(True).alias("held_out"))).groupBy("held_out").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {CLEAN}, {fx.SQL_PHENO['planted']}, fo AS (SELECT f.f, c.snp_idx, c.sample_idx % 3 = f.f AS test, dosage AS x, y FROM c JOIN ph USING (sample_idx), range(3) f(f)),
@@ -428,13 +453,18 @@ e AS (SELECT snp_idx, a, avg(pow(y - my - cv/(vr + a/n)*(x - mx), 2)) AS mse FRO
 SELECT snp_idx, a AS alpha, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY snp_idx ORDER BY round(mse, 10), a) AS k FROM e) WHERE k = 1""")
 def ridge_grid_argmin(spark, folder):
     """Least mean error over three folds and a grid of penalties, per variant."""
-    j = _clean_geno(spark, folder).join(fx.phenotype(spark, folder, "planted"), "sample_idx")
-    fo = j.select("snp_idx", F.col("dosage").alias("x"), "y", (F.col("sample_idx") % 3).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("f"))
-    tr = fo.where("own <> f").groupBy("f", "snp_idx").agg(F.covar_pop("x", "y").alias("cv"), F.var_pop("x").alias("vr"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
-    test = fo.where("own = f").join(tr, ["f", "snp_idx"]).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.1, 10.0, 1000.0)])))
-    mse = test.groupBy("snp_idx", "alpha").agg(F.avg(F.pow(F.col("y") - F.col("my") - F.col("cv") / (F.col("vr") + F.col("alpha") / F.col("n")) * (F.col("x") - F.col("mx")), 2)).alias("mse"))
-    best = mse.groupBy("snp_idx").agg(F.min_by(F.struct("alpha", "mse"), F.struct(F.round("mse", 10).alias("r"), "alpha")).alias("b"))
-    return best.select("snp_idx", "b.alpha", rounded("b.mse").alias("mse"))
+    grid = (0.1, 10.0, 1000.0)
+
+    def best(x: np.ndarray, y: np.ndarray) -> tuple:
+        own = np.arange(len(y)) % 3
+        parts = [(np.flatnonzero(own != f), np.flatnonzero(own == f)) for f in range(3)]
+        # folds of unequal size weigh by their rows, as in the SQL
+        each = np.array([solver.ridge_errors(x, y, grid, [p]) for p in parts])
+        mse = np.average(each, axis=0, weights=[len(p[1]) for p in parts])
+        i = int(np.argmin(np.round(mse, 10)))
+        return grid[i], mse[i]
+
+    return _per_variant(spark, folder, best, "alpha double, mse double").select("snp_idx", "alpha", rounded("mse").alias("mse"))
 
 
 # Fits

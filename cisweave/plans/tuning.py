@@ -79,6 +79,11 @@ def grid_of(spark, grid: dict[str, Sequence]) -> DataFrame:
     return spark.createDataFrame(rows, "combo int, c_lambda double, c_ridge double, subsample_frac double, batch_size int")
 
 
+def median_scores(rows: DataFrame, by: str) -> DataFrame:
+    """(by, score): the median of the final_r2 that are finite numbers."""
+    return rows.where("final_r2 IS NOT NULL AND NOT isnan(final_r2) AND abs(final_r2) < double('inf')").groupBy(by).agg(F.median("final_r2").alias("score"))
+
+
 def score_combos(loci: DataFrame, grid: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, n: int, settings: Settings = Settings(), **options) -> DataFrame:
     """(combo, its constants, score): the median of final_r2 over the loci; -infinity if none has a score. All fits of all
     combinations are one job: a locus and a combination is a window of its own."""
@@ -88,13 +93,12 @@ def score_combos(loci: DataFrame, grid: DataFrame, genotypes: DataFrame, phenoty
     windows = windows.withColumnsRenamed({"subsample_frac": "fixed_subsample_frac", "batch_size": "fixed_batch_size"})
     fitted = fit_windows(windows, genotypes, phenotypes, settings=replace(settings, n_trials=1), **options)
     r2 = fitted.where("status = 'ok'").select(F.substring_index("window_id", "#", -1).cast("int").alias("combo"), "final_r2")
-    scores = r2.where("final_r2 IS NOT NULL AND NOT isnan(final_r2) AND abs(final_r2) < double('inf')").groupBy("combo").agg(F.median("final_r2").alias("score"))
-    return bounded_broadcast(grid, 10_000).join(scores, "combo", "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
+    return bounded_broadcast(grid, 10_000).join(median_scores(r2, "combo"), "combo", "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
 
 
-def best_combo(scores: DataFrame, by: str = "score") -> dict:
+def best_combo(scores: DataFrame, by: str = "score", key: str = "combo") -> dict:
     """The combination of highest score, the first of equals. Raises RuntimeError if none has a score."""
-    row = scores.where(F.col(by) > float("-inf")).orderBy(F.desc(by), "combo").first()
+    row = scores.where(F.col(by) > float("-inf")).orderBy(F.desc(by), key).first()
     if row is None:
         raise RuntimeError("no combination has a score")
     return row.asDict()
@@ -126,10 +130,16 @@ def tune_across(train: DataFrame, val: DataFrame, genotypes: DataFrame, phenotyp
     return best
 
 
+def split_by_chromosome(loci: DataFrame, val_chromosomes: Sequence) -> tuple[DataFrame, DataFrame]:
+    """(training, validation) loci: those of val_chromosomes validate."""
+    held = F.col("chrom").cast("string").isin([str(c) for c in val_chromosomes])
+    return loci.where(~held), loci.where(held)
+
+
 def leave_chromosomes_out(loci: DataFrame, val_chromosomes: Sequence, genotypes: DataFrame, phenotypes: DataFrame, **options) -> dict:
     """tune_across with the loci of val_chromosomes as validation and all others as training."""
-    held = F.col("chrom").cast("string").isin([str(c) for c in val_chromosomes])
-    return tune_across(loci.where(~held), loci.where(held), genotypes, phenotypes, **options)
+    train, val = split_by_chromosome(loci, val_chromosomes)
+    return tune_across(train, val, genotypes, phenotypes, **options)
 
 
 def odd_even(chromosomes: Sequence) -> tuple[list, list]:
