@@ -68,12 +68,18 @@ def p5_within(spark: SparkSession, folder: str) -> DataFrame:
     return _checked(storage.materialise(p5_percentiles(spark, folder), "percentiles"), spark, folder)
 
 
+def p5_days_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Each percentile of p5_from_days, merged from stored months, held against exact ranks."""
+    return _checked(storage.materialise(p5_from_days(spark, folder), "percentiles"), spark, folder)
+
+
 _KEY = ids.sql_site("cpg_id")
 _OK = {m: f"CASE WHEN NOT isnan({m}) AND {m} <> {MISSING} AND {m} <= 1{' AND ' + m + ' >= 0' if m == 'h2_unscaled' else ''} THEN {m} END" for m in METRICS}
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_from_days": p5_from_days, "p5_within": p5_within}
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_from_days": p5_from_days, "p5_within": p5_within, "p5_days_within": p5_days_within}
 SQL = {
     "p5_within": f"""WITH rows AS (SELECT {ids.sql_site_chrom(_KEY, 'chrom')} AS chrom, {', '.join(f'{x} AS {m}' for m, x in _OK.items())},
  row_number() OVER (PARTITION BY run_id, coalesce({_KEY}, 'row ' || summary_id), finished_at ORDER BY loaded_at DESC NULLS LAST, summary_id DESC) AS k FROM cpg_summary),
 long AS ({' UNION ALL '.join(f"SELECT chrom, '{m}' AS metric, {m} AS x FROM rows WHERE k = 1 AND {m} IS NOT NULL" for m in METRICS)})
 SELECT chrom, metric, q, count(*) AS n, true AS within FROM long, (SELECT unnest([{', '.join(f'CAST({q} AS DOUBLE)' for q in AT)}]) AS q) GROUP BY chrom, metric, q""",
 }
+SQL["p5_days_within"] = SQL["p5_within"]

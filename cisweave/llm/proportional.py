@@ -54,8 +54,9 @@ def pour(amount: int, weight: np.ndarray, room: np.ndarray) -> np.ndarray:
 
 
 def allocate(share: np.ndarray, least: np.ndarray, pool: np.ndarray, parent: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """Quotas of one plan's leaves and how many are drawn, with what came from siblings and from cousins."""
-    share, least = np.nan_to_num(share.astype(float)), np.nan_to_num(least.astype(float)).astype(np.int64)
+    """Quotas of one plan's leaves and how many are drawn, with what came from siblings and from cousins. A minimum counts
+    as far as the pool reaches; where the sample has room for all of these, each leaf has its own."""
+    share, least = np.nan_to_num(share.astype(float)), np.minimum(np.nan_to_num(least.astype(float)).astype(np.int64), pool)
     want = share / share.sum() * size if share.sum() > 0 else np.zeros(len(share))
     fixed = want < least
     for _ in range(len(share)):  # minima first; the others share the rest, which can put more of them below their minimum

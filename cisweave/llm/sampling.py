@@ -45,6 +45,38 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return proportional.draw(members, allocated, SEED).withColumnRenamed("key", "site")
 
 
+def p1_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """Per plan: rows drawn; whether each site is drawn once, no category gives more than its pool or less than its minimum
+    (or all it has), and as many are drawn as are allocated."""
+    targets = _targets(spark, folder)
+    members = proportional.category_members(storage.materialise(_pool(spark, folder), "pool"), targets)
+    allocated = storage.materialise(proportional.allocation(members, targets), "allocation")
+    leaf = ["plan_id", "chrom", "bin_no"]
+    drawn = storage.materialise(proportional.draw(members, allocated, SEED), "drawn")
+    per_leaf = drawn.groupBy(*leaf).agg(F.count("*").alias("n"))
+    least = targets.select(*leaf, F.coalesce("min_rows", F.lit(0)).alias("min_rows"))
+    checks = allocated.join(least, leaf).join(per_leaf, leaf, "left").fillna(0, ["n"]).groupBy("plan_id").agg(
+        F.sum("n").alias("n_drawn"), F.bool_and(F.col("n") <= F.col("pool")).alias("within_pool"), F.bool_and(F.col("n") >= F.least("pool", "min_rows")).alias("minima_met"),
+        F.bool_and(F.col("n") == F.col("drawn")).alias("as_allocated"),
+    )
+    repeats = drawn.groupBy("plan_id", "key").agg(F.count("*").alias("k")).groupBy("plan_id").agg((F.max("k") == 1).alias("once"))
+    return checks.join(repeats, "plan_id", "left").fillna(True, ["once"])
+
+
+def p4_growth(spark: SparkSession, folder: str) -> DataFrame:
+    """Per chromosome: sites selected from the earlier half of the batches, then, the ledger kept, from all of them; and
+    whether each site of the first selection is in the second. The ledger is the call's own."""
+    key = ids.site_key("cpg_id")
+    rows = table(spark, folder, "sites").select(key.alias("key"), ids.site_chrom(key, "chrom").alias("grp"), F.col("batch_no").alias("batch"))
+    path, half = storage.scratch_path(spark, "growth"), rows.agg(F.floor((F.min("batch") + F.max("batch")) / 2)).first()[0]
+    early = storage.materialise(ledger.members(rows.where(F.col("batch") <= half), SEED), "population")
+    before = storage.materialise(ledger.grow(early, path, P4_SHARE, P4_LEAST).select("key", "grp"), "before")
+    population = storage.materialise(ledger.members(rows, SEED), "population")
+    after = ledger.grow(population, path, P4_SHARE, P4_LEAST).select("key", "grp")
+    both = before.select("key", F.lit(1).alias("a")).join(after.select("key", "grp", F.lit(1).alias("b")), "key", "full").join(population.select("key", F.col("grp").alias("chrom")), "key")
+    return both.groupBy("chrom").agg(F.count("a").alias("n_before"), F.count("b").alias("n_after"), F.bool_and(F.col("a").isNull() | F.col("b").isNotNull()).alias("kept"))
+
+
 def _ledger_path(spark: SparkSession, folder: str) -> str:
     """Where the sample of a table folder lasts in the shared folder; storage.clear() leaves it. Other seeds and shares
     have ledgers of their own."""
@@ -69,8 +101,15 @@ _POOL = f"""pool AS (SELECT site, {ids.sql_site_chrom('site')} AS chrom, m_raw F
 counts AS (SELECT t.plan_id, {ids.sql_chrom('t.chrom')} AS chrom, t.bin_no, t.target_share, t.min_rows, t.sample_rows, count(p.site) AS pool FROM tuning_targets t
  LEFT JOIN pool p ON p.chrom = {ids.sql_chrom('t.chrom')} AND (t.m_low IS NULL OR p.m_raw >= t.m_low) AND (t.m_high IS NULL OR p.m_raw <= t.m_high) GROUP BY ALL)"""
 
-QUERIES = {"p1_found": p1_found, "p1_allocation": p1_allocation, "p1_sample": p1_sample, "p4_sample": p4_sample}
+QUERIES = {"p1_found": p1_found, "p1_allocation": p1_allocation, "p1_sample": p1_sample, "p1_sound": p1_sound, "p4_sample": p4_sample, "p4_growth": p4_growth}
 SQL = {
+    # all that is asked for is drawn, or all there is; every minimum is met where the sample has room for all
+    "p1_sound": f"WITH {_POOL} SELECT plan_id, CAST(least(max(sample_rows), sum(pool)) AS BIGINT) AS n_drawn, true AS within_pool, sum(least(pool, min_rows)) <= max(sample_rows) AS minima_met, true AS as_allocated, true AS once FROM counts GROUP BY plan_id",
+    # quotas rise with the batches, so the last one tells how many there are
+    "p4_growth": f"""WITH rows AS (SELECT {_SITE} AS site, {ids.sql_site_chrom(_SITE, 'chrom')} AS chrom, batch_no FROM sites WHERE {_SITE} IS NOT NULL),
+half AS (SELECT floor((min(batch_no) + max(batch_no)) / 2) AS h FROM rows), m AS (SELECT site, min(chrom) AS chrom, min(batch_no) AS batch FROM rows GROUP BY site),
+n AS (SELECT chrom, count(*) FILTER (batch <= h) AS a, count(*) AS b FROM m, half GROUP BY chrom)
+SELECT chrom, CAST(least(a, greatest(ceil(a * CAST({P4_SHARE} AS DOUBLE)), {P4_LEAST})) AS BIGINT) AS n_before, CAST(least(b, greatest(ceil(b * CAST({P4_SHARE} AS DOUBLE)), {P4_LEAST})) AS BIGINT) AS n_after, true AS kept FROM n""",
     "p1_found": f"WITH {_POOL} SELECT plan_id, chrom, bin_no FROM counts WHERE pool < min_rows OR pool < target_share * sample_rows",
     # One step a batch; `held` is the ledger of a chromosome.
     "p4_sample": f"""WITH RECURSIVE rows AS (SELECT {_SITE} AS site, {ids.sql_site_chrom(_SITE, 'chrom')} AS chrom, batch_no FROM sites),
