@@ -23,8 +23,9 @@ def reach(a: Sequence[int], b: Sequence[int], edits: int) -> list[int]:
     for e in range(1, edits + 1):
         new: dict[int, int] = {}
         for d in range(-e, e + 1):
-            i = max(front.get(d, -2) + 1, front.get(d + 1, -2) + 1, front.get(d - 1, -2))
-            if i < 0 or i > n or i + d > m or i + d < 0:
+            # a step beyond an end stands for the diagonal's last point, which is no further
+            i = min(max(front.get(d, -2) + 1, front.get(d + 1, -2) + 1, front.get(d - 1, -2)), n, m - d)
+            if i < 0 or i + d < 0:
                 continue
             new[d] = end = slide(i, d)
             # every point up to the furthest of a diagonal is within e edits; the last equal word there ends the prefix
