@@ -14,6 +14,8 @@ orphan. A parent row without a start never begins. Repeated rows count each. Emp
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,20 +49,21 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int = 1024) -
     pairs = storage.materialise(
         refs.groupBy("kind", "key", "period").agg(F.bit_or(F.expr("shiftleft(1L, src + 1)")).alias("mask")), "orphan-pairs"
     )
-    span = pairs.where(F.col("period") != NO_PERIOD).agg(F.min("period"), F.max("period"), F.bit_or("mask")).first()
-    low, high = (0, -1) if span[0] is None else (span[0], span[1])
+    # the months that references have, not all between the first and the last: one odd date adds one month
+    dated = pairs.where(F.col("period") != NO_PERIOD).groupBy("period").agg(F.bit_or("mask").alias("mask")).sort("period").collect()
+    months = F.array(*[F.lit(r["period"]) for r in dated]) if dated else F.array().cast(f"array<{pairs.schema['period'].dataType.simpleString()}>")
+    held = reduce(or_, [r["mask"] for r in dated], 0)
     codes = storage.materialise(dictionary(pairs.select("kind", "key").union(parents.select("kind", "key")), ranges), "orphan-codes")
 
     first = month_no(F.col("valid_from")) + F.when(F.date_trunc("month", "valid_from") == F.col("valid_from"), 0).otherwise(1)
-    last = F.coalesce(month_no(F.col("valid_to")) - 1, F.lit(high))
+    last = F.when(F.col("valid_to").isNotNull(), month_no(F.col("valid_to")) - 1)
     whole = (
-        parents.select("kind", "key", F.greatest(first, F.lit(low)).alias("p0"), F.least(last, F.lit(high)).alias("p1"))
-        .where("p0 <= p1")
-        .select("kind", "key", F.explode(F.sequence("p0", "p1")).alias("period"), F.lit(1).cast("long").alias("mask"))
+        parents.select("kind", "key", first.alias("p0"), last.alias("p1"))
+        .select("kind", "key", F.explode(F.filter(months, lambda m: (m >= F.col("p0")) & (F.col("p1").isNull() | (m <= F.col("p1"))))).alias("period"), F.lit(1).cast("long").alias("mask"))
     )
     bit = F.expr("shiftleft(1L, code & 63)")
     encoded = pairs.unionByName(whole).join(codes, ["kind", "key"])
-    sources = [s for s in range(62) if (span[2] or 0) >> (s + 1) & 1] or [0]
+    sources = [s for s in range(62) if held >> (s + 1) & 1] or [0]
     none = pairs.where(F.col("period") == NO_PERIOD)
     words = encoded.groupBy("kind", "rng", "period", F.shiftright("code", 6).alias("word")).agg(
         F.bit_or(F.when(F.col("mask") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("parent"),

@@ -57,3 +57,10 @@ def test_edges_and_empty(spark):
     assert found(spark, refs, parents) == [(0, 0, 2), (0, 0, 3), (1, 0, 4)]
     assert found(spark, [], parents) == []
     assert found(spark, refs[:1], []) == [(0, 0, 1)]
+
+
+def test_odd_dates_do_not_multiply_parents(spark):
+    years = [datetime(y, 3, 4) for y in (1900, 2023, 9998)]
+    refs = [(0, 0, k, t, i) for i, (k, t) in enumerate((k, t) for k in ("a", "b", "c") for t in years)]
+    parents = [(0, "a", datetime(1900, 1, 1), None), (0, "b", datetime(1900, 3, 1), datetime(2023, 3, 2)), (0, "c", datetime(2023, 3, 1), datetime(2023, 4, 1))]
+    assert found(spark, refs, parents) == brute(refs, parents)
