@@ -81,8 +81,9 @@ def impute_matrix(x: np.ndarray, strategy: str = "most_frequent") -> np.ndarray:
     return x
 
 
-def fit_one(w: dict, snp: np.ndarray, pos: np.ndarray, x: np.ndarray, settings: Settings, prep: dict, fixed: Fixed = None) -> dict:
-    """The record of one window; x: samples x its variants. Errors become a status, never a lost record."""
+def fit_one(w: dict, snp: np.ndarray, pos: np.ndarray, x: np.ndarray, settings: Settings, prep: dict, fixed: Fixed = None, ready: dict | None = None) -> dict:
+    """The record of one window; x: samples x its variants. Errors become a status, never a lost record. ready: keeps the
+    last prepared matrix, so that the same range and phenotype with other penalties is not prepared again."""
     out = dict.fromkeys(COLUMNS)
     out |= {k: w[k] for k in ("window_id", "pheno_id", "chrom", "start", "end")} | {"m_raw": len(pos), "num_snps": 0, "status": "ok"}
     try:
@@ -93,11 +94,17 @@ def fit_one(w: dict, snp: np.ndarray, pos: np.ndarray, x: np.ndarray, settings:
             return out | {"status": "no_snps", "n": int(np.isfinite(y).sum())}
         n = min(len(y), len(x))
         rows = np.flatnonzero(np.isfinite(y[:n]))
-        y, x = y[rows], x[rows]
+        y = y[rows]
         out["n"] = len(y)
         if len(y) < 2:
             return out | {"status": "no_phenotype"}
-        x, cols = prepare(x, pos, y, **prep)
+        place = (w.get("lo"), w.get("hi"), w["pheno_id"])
+        if ready and ready["place"] == place:
+            x, cols = ready["matrix"]
+        else:
+            x, cols = prepare(x[rows].astype(float), pos, y, **prep)
+            if ready is not None:
+                ready.update(place=place, matrix=(x, cols))
         if not len(cols):
             return out | {"status": "no_snps"}
         given = fixed(w | {"m_raw": len(pos), "n": len(y)}) if callable(fixed) else fixed
@@ -144,11 +151,11 @@ def fit_windows(
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["pos", "snp_idx"], kind="stable")
         pos, snp = right["pos"].to_numpy(np.int64), right["snp"].to_numpy(object)
-        x = np.stack(right["dosages"].to_list()).astype(np.float64).T if len(right) else np.zeros((0, 0))
-        rows = []
+        x = np.stack(right["dosages"].to_list()).astype(np.float32).T if len(right) else np.zeros((0, 0), np.float32)
+        rows, ready = [], {}
         for one in left.sort_values("window_id").to_dict("records"):
             a, b = np.searchsorted(pos, one["lo"], "left"), np.searchsorted(pos, one["hi"], "right")
-            rows.append(fit_one(one, snp[a:b], pos[a:b], x[:, a:b], settings, prep, fixed_params))
+            rows.append(fit_one(one, snp[a:b], pos[a:b], x[:, a:b], settings, prep, fixed_params, ready))
         return pd.DataFrame(rows, columns=COLUMNS)
 
     full = w.select(*keep).join(vectors.select("pheno_id", "y"), "pheno_id", "left")

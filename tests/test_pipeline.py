@@ -227,3 +227,17 @@ def test_selection_of_sites(spark):
     assert tuning.select_sites(rows, None).count() == 50
     with pytest.raises(ValueError, match="No CpGs with SNPs"):
         tuning.select_sites(rows.where("m_raw = 0"), None)
+
+
+def test_prepared_once_for_all_penalties(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (40, 12)).astype(np.float32)
+    y, pos, snp = (x[:, 3] + 0.2 * rng.normal(size=40)).astype(float), np.arange(12) * 1_000, np.array([f"rs{i}" for i in range(12)], object)
+    calls = []
+    inner = fit.prepare
+    monkeypatch.setattr(fit, "prepare", lambda *a, **k: calls.append(1) or inner(*a, **k))
+    windows = [{"window_id": f"w{n}#{c}", "pheno_id": "p", "chrom": "1", "start": 0, "end": 0, "lo": n, "hi": 99_000, "y": y, "fixed_alpha": 0.05 * (c + 1), "fixed_l1_ratio": 0.5} for n in range(2) for c in range(4)]
+    ready = {}
+    got = [fit.fit_one(w, snp, pos, x, FAST, {}, None, ready) for w in windows]
+    assert len(calls) == 2
+    assert [g["final_r2"] for g in got] == [fit.fit_one(w, snp, pos, x, FAST, {})["final_r2"] for w in windows] and {g["status"] for g in got} == {"ok"}
