@@ -501,3 +501,15 @@ def global_tune(spark, folder):
     w = cis.windows_of_sites(fx.sites(spark)).withColumn("pheno_id", F.lit("planted"))
     best = tuning.global_tune(w, geno, y, window_size=fx.HALF)
     return spark.createDataFrame([best], "c_lambda double, c_ridge double, subsample_frac double, batch_size int, score double")
+
+
+_CLUMPED, _ = _recursive_clump("rk", "window_id").rsplit("\nSELECT", 1)
+
+
+@query(f"""WITH RECURSIVE {CLEAN}, {fx.SQL_PHENO['planted']}, {fx.SQL_SITES}, {CORR}, {PAIRS}, rk AS (SELECT cpg_id AS window_id, snp_idx, row_number() OVER (PARTITION BY cpg_id ORDER BY round(abs_r, 10) DESC, snp_idx) AS rank
+ FROM st JOIN r ON r.chrom = st.chrom AND r.pos BETWEEN st.cpg_pos-1600 AND st.cpg_pos+1600), {_CLUMPED}
+SELECT cpg_id AS window_id, CASE WHEN cpg_id = '1_101600' THEN 'blacklisted' WHEN kept IS NULL THEN 'no_snps' ELSE 'ok' END AS status,
+ CAST(CASE WHEN cpg_id = '1_101600' OR kept IS NULL THEN 0 ELSE len(kept) END AS INTEGER) AS num_snps FROM st LEFT JOIN fin ON grp = cpg_id""")
+def run_cpgs_outcomes(spark, folder):
+    """Status and number of variants used of every site, as the whole run of run_cpgs leaves them."""
+    return run_cpgs(spark, folder).select("window_id", "status", "num_snps")
