@@ -188,11 +188,12 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
                 held = [p for p in _keys(s) if p in shared.value]
                 many = sum(shared.value[p] for p in held)
                 if many > 1 and m or held and not many:
+                    lots = [(xxh64_intdigest(s, seed=k) >> 1, s) for k in range(1 if many else DRAWN)]
                     for p in held:
                         if shared.value[p] == bool(many):
-                            for k in range(1 if many else DRAWN):
-                                lot = (xxh64_intdigest(s, seed=k) >> 1, s)
-                                best[p, k] = min(best.get((p, k), lot), lot)
+                            for k, lot in enumerate(lots):
+                                if (p, k) not in best or lot < best[p, k]:
+                                    best[p, k] = lot
             yield pd.DataFrame([(p, k, lot, s) for (p, k), (lot, s) in best.items()], columns=["p", "k", "lot", "s"]).astype({"p": "int64", "k": "int32", "lot": "int64"})
 
     drawn = said.mapInPandas(draw, "p long, k int, lot long, s string").groupBy("p", "k").agg(F.min(F.struct("lot", "s")).alias("x")).select("p", "x.s").collect()
