@@ -4,8 +4,10 @@ A string-kernel machine (`string_svm`) is trained on the labelled sentences and
 counts over all documents leave no doubt. Offenders address people and disguise their spelling far more often than
 others do; how often, the labels and the corpus say. Each occurrence of a phrase of three words is such evidence for or
 against it (a log likelihood ratio; copies of a text count once for each author, or once), and phrases with much of it give one sentence each:
-offending ones said so in several texts, and harmless ones that are widespread and are never said so. Labels that models
-trained on the other folds contradict clearly are left out. A document's score is that of its worst sentence, over its
+offending ones said so in several texts, and harmless ones that are widespread and are never said so. A sentence that is
+widespread as it is counts as much as its evidence, so that what else a few texts say along with it, such as a greeting
+before an insult, does not make cases of all the others that have it. Labels that models trained on the other folds
+contradict clearly are left out. A document's score is that of its worst sentence, over its
 whole text; it is a case above 0, the machine's own boundary.
 
 Defined results: a null or empty text, or one without letters, has a null score and is no case; null labels are not
@@ -43,6 +45,8 @@ HARMLESS, HARMLESS_SHARE = -4.0, 3e-3
 SENTENCE_SHARE = 5e-4
 #: sentences drawn, by hash, for a harmless phrase
 DRAWN = 4
+#: most landmarks that are chosen by trust
+MORE = 250
 
 
 def labelled(rows: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -81,6 +85,8 @@ class Exemplars:
 
     offending: list[str] = field(default_factory=list)
     harmless: list[str] = field(default_factory=list)
+    #: of harmless ones that are widespread as they are: how many times the least evidence they have
+    trust: dict[str, int] = field(default_factory=dict)
 
 
 def fit(labels: pd.DataFrame, exemplars: Exemplars = Exemplars(), folds: int = 3) -> Machine | None:
@@ -100,7 +106,8 @@ def fit(labels: pd.DataFrame, exemplars: Exemplars = Exemplars(), folds: int = 3
     use = _worst_only(strings, y, of, _once(strings, y, of, 300))
     own = [s for s, u in zip(strings, use) if u]
     more = exemplars.offending + exemplars.harmless
-    return train(own + more, np.r_[y[use], np.ones(len(exemplars.offending)), -np.ones(len(exemplars.harmless))], most=500)
+    trust = np.r_[np.ones(len(own) + len(exemplars.offending)), [exemplars.trust.get(s, 1) for s in exemplars.harmless]]
+    return train(own + more, np.r_[y[use], np.ones(len(exemplars.offending)), -np.ones(len(exemplars.harmless))], trust, most=500, more=MORE if exemplars.trust else 0)
 
 
 def manner_rates(labels: pd.DataFrame) -> tuple[dict[int, float], dict[int, float]]:
@@ -175,10 +182,12 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
     counted = said.mapInPandas(_count, "p long, m int, whole boolean, n long").groupBy("p", "whole").agg(F.sum("n").alias("n"), F.sum(odds * F.col("n")).alias("e"), F.sum(F.when(F.col("m") > 0, F.col("n"))).alias("n_said"))
     offends = ~F.col("whole") & (F.col("e") > OFFENDING) & (F.col("n_said") > 1)
     share = F.when(F.col("whole"), SENTENCE_SHARE).otherwise(HARMLESS_SHARE)
-    strong = storage.materialise(counted.where(offends | ((F.col("e") < HARMLESS) & (F.col("n") >= share * n_texts))).select("p", "e"), "phrases")
+    strong = storage.materialise(counted.where(offends | ((F.col("e") < HARMLESS) & (F.col("n") >= share * n_texts))).select("p", "whole", "e"), "phrases")
     least = OFFENDING_SHARE * (strong.where("e > 0").agg(F.sum("e")).first()[0] or 0.0)
     # the shares bound this table
-    kinds = {r["p"]: r["e"] > 0 for r in strong.where((F.col("e") < 0) | (F.col("e") > least)).collect()}
+    chosen = strong.where((F.col("e") < 0) | (F.col("e") > least)).collect()
+    kinds = {r["p"]: r["e"] > 0 for r in chosen}
+    wholes = {r["p"]: max(1, round(r["e"] / HARMLESS)) for r in chosen if r["whole"]}
     shared = said.sparkSession.sparkContext.broadcast(kinds)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +197,9 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
                 held = [p for p in _keys(s) if p in shared.value]
                 many = sum(shared.value[p] for p in held)
                 if many > 1 and m or held and not many:
-                    lots = [(xxh64_intdigest(s, seed=k) >> 1, s) for k in range(1 if many else DRAWN)]
+                    # an offending one that holds a harmless phrase too only where there is no other
+                    last = (0 < many < len(held)) << 62
+                    lots = [(xxh64_intdigest(s, seed=k) >> 2 | last, s) for k in range(1 if many else DRAWN)]
                     for p in held:
                         if shared.value[p] == bool(many):
                             for k, lot in enumerate(lots):
@@ -197,7 +208,8 @@ def exemplars(said: DataFrame, labels: pd.DataFrame) -> Exemplars:
             yield pd.DataFrame([(p, k, lot, s) for (p, k), (lot, s) in best.items()], columns=["p", "k", "lot", "s"]).astype({"p": "int64", "k": "int32", "lot": "int64"})
 
     drawn = said.mapInPandas(draw, "p long, k int, lot long, s string").groupBy("p", "k").agg(F.min(F.struct("lot", "s")).alias("x")).select("p", "x.s").collect()
-    return Exemplars(*(sorted({r["s"] for r in drawn if kinds[r["p"]] is kind}) for kind in (True, False)))
+    trust = {r["s"]: wholes[r["p"]] for r in drawn if r["p"] in wholes}
+    return Exemplars(*(sorted({r["s"] for r in drawn if kinds[r["p"]] is kind}) for kind in (True, False)), trust)
 
 
 def machine_of(said: DataFrame, labels: DataFrame) -> Machine | None:

@@ -114,10 +114,11 @@ class Sparse:
         return dense
 
 
-def landmarks(rows: Sparse, most: int) -> tuple[np.ndarray, np.ndarray]:
+def landmarks(rows: Sparse, most: int, trust: np.ndarray | None = None, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Landmarks and the kernels of all rows with them, by pivoted Cholesky: each time the string that those before
-    explain least. One column of kernels is made per landmark; the whole matrix never exists. A subsequence of one string
-    only adds to no kernel but the string's with itself, so it is left out of the products."""
+    explain least; after `most` of them, up to `more` by what is unexplained times trust, as short strings, which have
+    little to explain, are not met otherwise. One column of kernels is made per landmark; the whole matrix never exists.
+    A subsequence of one string only adds to no kernel but the string's with itself, so it is left out of the products."""
     own = np.bincount(rows.who, rows.weight.astype(float) ** 2, rows.count)
     shared = (np.bincount(rows.feature, minlength=len(rows.columns)) > 1)[rows.feature]
     columns, feature = np.unique(rows.feature[shared], return_inverse=True)
@@ -129,9 +130,9 @@ def landmarks(rows: Sparse, most: int) -> tuple[np.ndarray, np.ndarray]:
     holder, held = who[order], weight[order]
     left = own.copy()
     chosen: list[int] = []
-    kernels, basis = np.zeros((rows.count, most), np.float32), np.zeros((rows.count, most), np.float32)
-    while len(chosen) < most and left.max() > 1e-3:
-        p, c = int(np.argmax(left)), len(chosen)
+    kernels, basis = np.zeros((rows.count, most + more), np.float32), np.zeros((rows.count, most + more), np.float32)
+    while len(chosen) < most + more and left.max() > 1e-3:
+        p, c = int(np.argmax(left if len(chosen) < most or trust is None else np.where(left > 1e-3, left * trust, 0))), len(chosen)
         at = slice(start[p], start[p + 1])
         begin, many = first[feature[at]], np.diff(first)[feature[at]]
         places = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -188,10 +189,10 @@ class Machine:
         return np.bincount(who[known], weight[known] * self.weights[at[known]], len(strings)) + self.bias
 
 
-def train(strings: Sequence[str], y: np.ndarray, trust: np.ndarray | None = None, kernel: Kernel = Kernel(), most: int = 400, c: float = 3.0) -> Machine:
-    """y: +1 or -1; trust: factor of each string's cost."""
+def train(strings: Sequence[str], y: np.ndarray, trust: np.ndarray | None = None, kernel: Kernel = Kernel(), most: int = 400, more: int = 0, c: float = 3.0) -> Machine:
+    """y: +1 or -1; trust: factor of each string's cost; most, more: of landmarks()."""
     rows = Sparse.of(strings, kernel)
-    at, kernels = landmarks(rows, most)
+    at, kernels = landmarks(rows, most, trust, more)
     values, u = np.linalg.eigh(kernels[at].astype(float))
     keep = values > 1e-6
     root = u[:, keep] / np.sqrt(values[keep])

@@ -140,6 +140,33 @@ def test_cases_hardly_depend_on_the_draw(spark):
     assert max(counts) - min(counts) <= max(4, 0.25 * np.median(counts)), counts
 
 
+def greeted(spark):
+    """Insults of which the labels know nothing, a third of them said to someone and a third in disguise; most of the latter
+    after a greeting that many texts have as a sentence of its own."""
+    insults = ["Yodelling turnips like {} rot brains", "Nobody ever missed a gherkin like {} here", "Your whole street laughs at {} by day", "Take {} and sink with it in a bog"]
+    names = ["alpha", "beta", "gamma", "delta", "omega"]
+    docs = []
+    for k, insult in enumerate(insults):
+        for i in range(90):
+            first, rest = insult.format(names[i % 5]).split(" ", 1)
+            said = [f"@123: {first} {rest}", f"{'Hey everyone, ' if k < 2 or i % 2 else ''}{'.'.join(first)} {rest}", f"{first} {rest}"][i % 3]
+            docs.append((100 * k + i, f"{said}. Text {names[i % 5]} {'x' * (i % 60 + 1)} {'w' * (i % 50 + 1)}."))
+    docs += [(1_000 + i, f"Hey everyone. Text {names[i % 5]} {'y' * (i % 60 + 1)} {'z' * (i % 50 + 1)}.") for i in range(600)]
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def test_a_greeting_before_insults_makes_no_cases_of_greetings(spark):
+    got = offence.exemplars(offence.distinct_sentences(greeted(spark)), labels())
+    assert len(got.offending) >= 4 and not any("hey everyone" in s for s in got.offending)
+    assert "hey everyone" in got.harmless and got.trust["hey everyone"] > 1
+    # where no other sentence can be drawn, evidence outweighs a few such insults
+    rows = labels()
+    own = [s for t, k in zip(rows["example_text"], rows["label"]) if k not in ("none", None) for s in sentences(t)[-1:]]
+    few = [f"hey everyone {s}" for s in sorted(set(own))[::10]]
+    score = offence.fit(rows, offence.Exemplars(few, ["hey everyone"], {"hey everyone": 100})).score(["hey everyone", *few])
+    assert score[0] < -0.9 and (score[1:] > 0.5).all()
+
+
 def test_hashes_of_many_subsequences_stay_apart():
     rng = np.random.default_rng(1)
     strings = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(1_500)]
